@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tropica.llm import packing, pfor
+from tropica.llm import packing, pfor, transducer
 
 
 def queries() -> dict:
-    return {"op6_token_ids": pfor.op6_token_ids, "op9_best_fit_packing": packing.op9_best_fit_packing}
+    return {"op6_token_ids": pfor.op6_token_ids, "op9_best_fit_packing": packing.op9_best_fit_packing, "op10_token_counts": transducer.op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
