@@ -1,34 +1,17 @@
-"""Shared plumbing of the training-data operators: table reads, the shared work folder, and writes that outlive an executor."""
+"""Shared plumbing of the training-data operators: table reads, the shared work folder, and files in any store."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tropica.plans.fixpoint import work_dir, written
 
-def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
-
-
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below spark.checkpoint.dir, which every executor and the driver share.
-
-    Only where the setting is absent (tests on one machine) a temporary folder stands in."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="tropica-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+__all__ = ["open_fs", "table", "text_or_empty", "work_dir", "written"]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, without lineage, and safe from lost executors."""
-    path = f"{work_dir(df.sparkSession, name)}.parquet"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
 def text_or_empty(column: str = "text"):
