@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from tropica.llm import neardup, packing, pfor, substrings, transducer, warc
+from tropica.llm import decontam, neardup, packing, pfor, substrings, transducer, warc
 
 
 def queries() -> dict:
-    return {"op4_substring_dedup": substrings.op4_substring_dedup, "op5_minhash_near_dedup": neardup.op5_minhash_near_dedup, "op6_token_ids": pfor.op6_token_ids, "op8_warc": warc.op8_warc, "op9_best_fit_packing": packing.op9_best_fit_packing, "op10_token_counts": transducer.op10_token_counts}
+    return {"op4_substring_dedup": substrings.op4_substring_dedup, "op5_minhash_near_dedup": neardup.op5_minhash_near_dedup, "op6_token_ids": pfor.op6_token_ids, "op7_decontamination": decontam.op7_decontamination, "op8_warc": warc.op8_warc, "op9_best_fit_packing": packing.op9_best_fit_packing, "op10_token_counts": transducer.op10_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_dedup": substrings.OP4_SQL, "op5_minhash_near_dedup": neardup.OP5_SQL, "op8_warc": warc.OP8_SQL}
+    return {"op4_substring_dedup": substrings.OP4_SQL, "op5_minhash_near_dedup": neardup.OP5_SQL, "op7_decontamination": decontam.oracle(), "op8_warc": warc.OP8_SQL}
