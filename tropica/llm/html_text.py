@@ -52,6 +52,8 @@ TABLE = """
 7 0 5 1 3 1 0 0 0 0 0 0 | 10 .6 8 1 12 .7 0 0 0 1 0 0 | 6 0 0 0 1 1 0 0 0 0 0 0 | 8 .4 60 .9 0 0 0 0 0 0 0 0 | 40 .7 5 1 30 .8 0 0 0 0 0 0
 2 0 30 0 0 0 0 0 0 0 0 0 | 6 .1 60 0 0 0 0 0 0 0 0 0 | 3 0 120 0 2 1 0 0 0 0 0 0 | 45 0 60 0 0 0 0 0 0 0 0 1 | 5 0 0 0 0 0 0 0 0 0 0 1
 25 0 30 0 0 0 0 0 0 0 0 1 | 60 0 0 0 0 0 0 0 0 0 0 1 | 4 .3 45 0 3 0 0 0 0 0 0 0 | 70 0 0 0 3 0 0 0 0 0 0 1 | 5 0 30 .1 0 0 0 0 0 0 0 0
+2 0 30 0 0 0 1 0 0 0 1 1 | 6 .1 60 0 0 0 1 0 0 0 1 1 | 3 0 120 0 2 1 1 0 0 0 1 1 | 4 .3 45 0 3 0 1 0 0 0 1 1 | 5 0 30 .1 0 0 1 0 0 0 1 1
+3 1 2 1 4 1 1 0 0 1 1 1 | 14 0 1 1 80 0 1 0 0 0 1 1 | 25 .9 5 1 8 1 1 0 0 0 1 1 | 7 0 5 1 3 1 1 0 0 0 1 1 | 4 0 3 1 2 1 1 0 1 0 1 1
 """
 
 
