@@ -19,6 +19,8 @@ WINDOW, SHORTEST = 13, 8
 LITERALS = 6
 #: Up to this many benchmark windows (some 200 bytes each) are sent to all executors; more are joined by a shuffle.
 BROADCAST_WINDOWS = 100_000
+#: Up to this many different anchors are listed in the plan.
+LISTED_ANCHORS = 20_000
 UNITS = "mm cm m km in ft yd mi mg g kg lb lbs oz ml l s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years dollar dollars euro euros cent cents percent meter meters metre metres mile miles gram grams liter liters litre litres degree degrees".split()
 _NUMBER, _NAME, _UNIT = "<num>", "<name>", "<unit>"
 
@@ -68,16 +70,21 @@ def benchmark_windows(benchmark: DataFrame, window: int, shortest: int) -> DataF
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shortest: int = SHORTEST) -> DataFrame:
     """Consistent window matches (k, item_id, p, q) of docs(k, text): window q of the item stands at word p."""
     found = written(benchmark_windows(benchmark, window, shortest), "benchmark")
-    placed = docs.where(F.col("text").isNotNull()).select("k", words(F.col("text")).alias("w"))
-    placed = placed.select("k", "w", F.posexplode("w").alias("at", "word")).withColumn("anchor", literal(F.col("word")))
-    if found.count() <= BROADCAST_WINDOWS:
-        joined = placed.join(F.broadcast(found), "anchor")
-    else:  # only places that hold some anchor are shuffled with their neighbourhood
-        around = F.slice("w", F.greatest(F.lit(1), F.col("at") - window), 2 * window + 2)
-        placed = placed.withColumns({"w": around, "at": F.least(F.col("at"), F.lit(window + 1)), "shift": F.greatest(F.lit(0), F.col("at") - window - 1)})
-        joined = placed.join(found, "anchor")
-    if "shift" not in joined.columns:
-        joined = joined.withColumn("shift", F.lit(0))
+    texts = docs.where(F.col("text").isNotNull()).select("k", words(F.col("text")).alias("w"))
+    anchors = [r["anchor"] for r in found.select("anchor").distinct().limit(LISTED_ANCHORS + 1).collect()]
+    if len(anchors) <= LISTED_ANCHORS:
+        places = F.array_compact(F.transform("w", lambda x, i: F.when(literal(x).isin(anchors), i)))
+        texts = texts.withColumn("places", places).where(F.size("places") > 0)
+    else:  # too many to list in the plan: places that hold an anchor are found by a join of hashes
+        each = texts.select("k", F.posexplode("w").alias("at", "x")).select("k", "at", literal(F.col("x")).alias("anchor"))
+        held = each.join(found.select("anchor").distinct(), "anchor", "left_semi").groupBy("k").agg(F.collect_set("at").alias("places"))
+        texts = texts.dropDuplicates(["k"]).join(held, "k")
+    # Only the neighbourhood of a place travels on, however long the text is.
+    base = lambda i: F.greatest(i - window, F.lit(0))
+    around = F.transform("places", lambda i: F.struct(base(i).alias("shift"), (i - base(i)).alias("at"), F.slice("w", base(i) + 1, 2 * window + 1).alias("w"), literal(F.get("w", i)).alias("anchor")))
+    placed = texts.select("k", F.explode(around).alias("x")).select("k", "x.*")
+    small = found.count() <= BROADCAST_WINDOWS
+    joined = placed.join(F.broadcast(found) if small else found, "anchor")
     joined = joined.withColumn("start", F.col("at") - F.col("off")).where((F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.size("w")))
     joined = joined.where(template(F.col("w"), F.col("start"), F.col("size")) == F.col("win"))
     joined = joined.select("k", "item_id", (F.col("start") + F.col("shift")).alias("p"), "q", "win", "iw", F.slice("w", F.col("start") + 1, F.col("size")).alias("dw"))

@@ -3,9 +3,10 @@
 Documents with equal shingle sets form classes, and only classes are compared. Each class has 128 MinHash samples in 32
 bands of 4 (a pair at similarity 0.8 shares no band once in 20 million) and an odd sketch: the samples folded into a
 256-bit parity map, so that the bits in which two sketches differ estimate high similarities sharply. A bucket is not
-expanded into pairs. First its members are held against its least one; what that links is merged. Where a bucket then
-still spans several components, members outside its largest component are held against those of other components.
-Every pair of a bucket is thus confirmed, ruled out or already connected.
+expanded into pairs. First its members are held against its least one; what that links is merged. Where buckets then
+still span several components, classes that have too much of their own for any link drop out, the others are held
+against the class with most in common with its bucket, and last members outside the largest component against those of
+other components. Every pair of a bucket is thus confirmed, ruled out or already connected.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from tropica.operators.components import components
 SHINGLE, THRESHOLD = 5, 80
 BANDS, ROWS, SKETCH_BITS = 32, 4, 256
 #: Sketches rule a pair out only where they estimate a similarity this far below the threshold (five deviations).
-MARGIN = 0.25
+MARGIN = 0.2
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _DRAWS = np.random.default_rng(20_161)
 _FACTORS = _DRAWS.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -86,10 +87,9 @@ def signatures(keyed: DataFrame, size: int) -> DataFrame:
     return keyed.mapInArrow(sign, SIGNATURES)
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, keyed: DataFrame, size: int, threshold: int) -> DataFrame:
-    """The pairs (u, v) that the full sets confirm."""
-    wanted = pairs.select(F.col("u").alias("c1")).unionByName(pairs.select(F.col("v").alias("c1"))).distinct()
-    at = classes.join(wanted, "c1", "left_semi").select("c1", "at.k1", "at.k2")
+def _fetch(ids: DataFrame, classes: DataFrame, keyed: DataFrame, size: int) -> DataFrame:
+    """(c1, shingles) of classes ids(c1), from one text of each."""
+    at = classes.join(ids.distinct(), "c1", "left_semi").select("c1", "at.k1", "at.k2")
 
     def fetch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,14 +97,16 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, keyed: DataFrame, size: int
                 sets = [shingle_set(w, size).view(np.int64) for w in word_hashes([t.translate(_LOWER) for t in texts])]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[start : start + len(texts)], pa.array(sets, pa.list_(pa.int64()))], names=["c1", "shingles"])
 
-    sets = keyed.join(at, ["k1", "k2"]).dropDuplicates(["c1"]).select("c1", "text").mapInArrow(fetch, "c1 long, shingles array<long>")
-    sets = written(sets, "sets")
+    return written(keyed.join(at, ["k1", "k2"]).dropDuplicates(["c1"]).select("c1", "text").mapInArrow(fetch, "c1 long, shingles array<long>"), "sets")
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (u, v) that the full sets confirm."""
     a = sets.select(F.col("c1").alias("u"), F.col("shingles").alias("a"))
     b = sets.select(F.col("c1").alias("v"), F.col("shingles").alias("b"))
-    both = pairs.select("u", "v").join(a, "u").join(b, "v")
-    shared = F.size(F.array_intersect("a", "b"))
+    both = pairs.select("u", "v").join(a, "u").join(b, "v").withColumn("shared", F.size(F.array_intersect("a", "b")))
     union = F.size("a") + F.size("b") - F.col("shared")
-    return written(both.withColumn("shared", shared).where(100 * F.col("shared") >= threshold * union).select("u", "v"), "links")
+    return written(both.where(100 * F.col("shared") >= threshold * union).select("u", "v"), "links")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
@@ -120,7 +122,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
     classes = rows.where("n > 0").groupBy("c1", "c2").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"), F.min(F.struct("k1", "k2")).alias("at"))
     classes = written(classes, "classes")
     bands = classes.select(F.explode("bands").alias("band"), F.col("c1").alias("v"))
-    leaders = bands.groupBy("band").agg(F.min("v").alias("u"), F.count("*").alias("c")).where("c > 1").drop("c")
+    leaders = written(bands.groupBy("band").agg(F.min("v").alias("u"), F.count("*").alias("c")).where("c > 1").drop("c"), "leaders")
     shared = written(bands.join(leaders, "band"), "buckets")  # every class in a bucket of two or more, with its leader
     sketch = classes.select("c1", "n", *(F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_BITS // 64)))
 
@@ -130,29 +132,53 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
         sizes = (100 * F.least(f"{a}.n", f"{b}.n")) >= threshold * F.greatest(f"{a}.n", f"{b}.n")
         return sizes & (bits <= differing_bits(threshold / 100 - MARGIN))
 
+    def in_order(a: str, b: str) -> tuple:
+        return F.least(a, b).alias("u"), F.greatest(a, b).alias("v")
+
     led = shared.where("u <> v").select("u", "v").distinct()
-    led = led.join(sketch.alias("a"), F.col("u") == F.col("a.c1")).join(sketch.alias("b"), F.col("v") == F.col("b.c1")).where(similar("a", "b")).select("u", "v")
-    links = _confirmed(written(led, "pairs"), classes, keyed, size, threshold)
+    led = written(led.join(sketch.alias("a"), F.col("u") == F.col("a.c1")).join(sketch.alias("b"), F.col("v") == F.col("b.c1")).where(similar("a", "b")).select("u", "v"), "pairs")
+    links = _confirm(led, _fetch(led.select(F.explode(F.array("u", "v")).alias("c1")), classes, keyed, size), threshold)
     part = components(links)
 
-    def with_part(df: DataFrame, of: DataFrame) -> DataFrame:
-        return df.join(of.select(F.col("id").alias("v"), "component"), "v", "left").withColumn("component", F.coalesce("component", "v"))
-
-    # Buckets that still span several components: members outside the largest one against all members of others.
-    inside = written(with_part(shared.select("band", "v"), part), "inside")
-    sizes = inside.groupBy("band", "component").agg(F.count("*").alias("c"))
-    mixed = sizes.groupBy("band").agg(F.max_by("component", F.struct("c", "component")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
-    members = inside.join(mixed, "band").join(sketch, F.col("v") == F.col("c1")).drop("c1", "parts")
-    a, b = members.where("component <> largest").alias("a"), members.alias("b")
-    across = (F.col("a.band") == F.col("b.band")) & (F.col("a.component") != F.col("b.component")) & ((F.col("a.v") < F.col("b.v")) | (F.col("b.component") == F.col("b.largest")))
-    more = a.join(b, across & similar("a", "b")).select(F.least("a.v", "b.v").alias("u"), F.greatest("a.v", "b.v").alias("v")).distinct()
-    more = written(more.join(led, ["u", "v"], "left_anti"), "more")
-    if not more.isEmpty():
-        extra = _confirmed(more, classes, keyed, size, threshold)
-        part = components(links.unionByName(extra))
+    def mixed(buckets: DataFrame) -> DataFrame:
+        """Members of buckets(band, v, ...) that span several components, with their own and the bucket's largest one."""
+        inside = buckets.join(part.select(F.col("id").alias("v"), "component"), "v", "left").withColumn("component", F.coalesce("component", "v"))
+        inside = written(inside, "inside")
+        sizes = inside.groupBy("band", "component").agg(F.count("*").alias("c"))
+        several = sizes.groupBy("band").agg(F.max_by("component", F.struct("c", "component")).alias("largest"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+        return written(inside.join(written(several, "several"), "band"), "mixed")
+
+    open_ = mixed(shared.select("band", "v"))
+    if not open_.isEmpty():
+        # A shingle that no other open class has is in no intersection: classes with too few others have no links left.
+        sets = _fetch(open_.select(F.col("v").alias("c1")), classes, keyed, size)
+        alone = sets.select("c1", F.explode("shingles").alias("g")).groupBy("g").agg(F.count("*").alias("c"), F.min("c1").alias("c1")).where("c = 1").groupBy("c1").agg(F.count("*").alias("alone"))
+        alive = sketch.join(sets.select("c1"), "c1", "left_semi").join(alone, "c1", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0)))
+        alive = written(alive.where(100 * F.col("common") >= threshold * F.col("n")).drop("alone"), "alive")
+
+        def possible(a: str, b: str):
+            both = F.least(f"{a}.common", f"{b}.common")
+            return similar(a, b) & (100 * both >= threshold * (F.col(f"{a}.n") + F.col(f"{b}.n") - both))
+
+        # Next every other component is held against the class that has most in common with the rest of its bucket.
+        rest = open_.select("band", "v", "component").join(alive, F.col("v") == F.col("c1")).drop("c1")
+        centre = rest.groupBy("band").agg(F.max_by(F.struct("v", "component"), F.struct(F.col("common") / F.col("n"), "n", "v")).alias("m"))
+        to_centre = rest.select("band", "v", "component").join(written(centre, "centres"), "band").where("component <> m.component").select(*in_order("v", "m.v")).distinct()
+        to_centre = to_centre.join(alive.alias("a"), F.col("u") == F.col("a.c1")).join(alive.alias("b"), F.col("v") == F.col("b.c1")).where(possible("a", "b")).select("u", "v")
+        to_centre = written(to_centre.join(led, ["u", "v"], "left_anti"), "to-centre")
+        links = written(links.unionByName(_confirm(to_centre, sets, threshold)), "links")
+        part = components(links)
+        # What is still apart: members outside a bucket's largest component against all members of other components.
+        last = mixed(rest.select("band", "v")).join(alive, F.col("v") == F.col("c1")).drop("c1")
+        a, b = last.where("component <> largest").alias("a"), last.alias("b")
+        across = (F.col("a.band") == F.col("b.band")) & (F.col("a.component") != F.col("b.component")) & ((F.col("a.v") < F.col("b.v")) | (F.col("b.component") == F.col("b.largest")))
+        more = a.join(b, across & possible("a", "b")).select(*in_order("a.v", "b.v")).distinct()
+        more = written(more.join(led, ["u", "v"], "left_anti").join(to_centre, ["u", "v"], "left_anti"), "across")
+        part = components(links.unionByName(_confirm(more, sets, threshold)))
     placed = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("c1")).alias("v"))
     placed = placed.join(part.select(F.col("id").alias("v"), "component"), "v", "left").withColumn("component", F.coalesce("component", "v"))
     least = placed.where("v is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
+    least = written(least, "least")
     placed = placed.join(least, "component", "left").withColumn("component_id", F.when(F.col("v").isNull(), F.col("doc_id")).otherwise(F.col("least")))
     return placed.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 

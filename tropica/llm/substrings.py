@@ -165,6 +165,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, dige
     keyed = _keyed(docs)
     all_fragments = written(find_fragments(keyed, window, kmer), "fragments")
     shared = all_fragments.groupBy("mh").agg(F.count("*").alias("c"), (F.min("ch") != F.max("ch")).alias("open")).where("c > 1").drop("c")
+    shared = written(shared, "least")  # a table of its own: the join below can then split a least k-mer that is everywhere
     shared = written(all_fragments.join(shared, "mh"), "shared")
     paths = shared.groupBy("mh", "ch").agg(F.count("*").alias("c"), F.first("open").alias("open"), F.min(F.struct("k1", "k2", "p", "n")).alias("at"))
     paths = written(paths, "paths")
