@@ -59,8 +59,8 @@ class Random60:
     def __call__(self) -> int:
         out = 0
         for _ in range(4):
-            out = (out << 15) | self.bits15()
-        return out
+            out = out * 32767 + self.bits15()  # not 2**15: the published samples come from this factor
+        return out % (1 << 60)
 
 
 def sample_degree(g: Graph, by_out: bool = True, samples: int = 1000, seed: int = 0) -> tuple[float, int]:
