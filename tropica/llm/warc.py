@@ -77,14 +77,14 @@ def records(source, piece: int = 1 << 20) -> Iterator[bytes]:
     if magic != MAGIC:
         raise ValueError("no dictionary frame at the start of the archive")
     decompressor = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(source.read(size)))
-    frame, parts, rest = decompressor.decompressobj(), [], b""
+    frame, parts, rest, inside = decompressor.decompressobj(), [], b"", False
     while data := rest or source.read(piece):
         parts.append(frame.decompress(data))
-        rest = b""
+        rest, inside = b"", not frame.eof
         if frame.eof:
             yield b"".join(parts)
             rest, frame, parts = frame.unused_data, decompressor.decompressobj(), []
-    if any(parts):
+    if inside:
         raise ValueError("archive ends inside a record")
 
 
