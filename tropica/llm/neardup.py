@@ -2,8 +2,9 @@
 
 Documents with equal shingle sets form classes, and only classes are compared. Each class has 128 MinHash samples in 32
 bands of 4 (a pair at similarity 0.8 shares no band once in 20 million) and an odd sketch: the samples folded into a
-256-bit parity map, so that the bits in which two sketches differ estimate high similarities sharply. A bucket is not
-expanded into pairs. First its members are held against its least one; what that links is merged. Where buckets then
+256-bit parity map, so that the bits in which two sketches differ estimate high similarities sharply. A second parity
+map, of the whole shingle set, differs in at most as many bits as the sets differ in shingles, and so rules pairs out
+without any error. A bucket is not expanded into pairs. First its members are held against its least one; what that links is merged. Where buckets then
 still span several components, classes that have too much of their own for any link drop out, the others are held
 against the class with most in common with its bucket, and last members outside the largest component against those of
 other components. Every pair of a bucket is thus confirmed, ruled out or already connected.
@@ -12,6 +13,7 @@ other components. Every pair of a bucket is thus confirmed, ruled out or already
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ from tropica.llm.substrings import _SPAN, _WORD, _groups, _signed, mix, spans_ha
 from tropica.operators.components import components
 
 SHINGLE, THRESHOLD = 5, 80
-BANDS, ROWS, SKETCH_BITS = 32, 4, 256
+BANDS, ROWS, SKETCH_BITS, PARITY_BITS = 32, 4, 256, 1024
 #: Sketches rule a pair out only where they estimate a similarity this far below the threshold (five deviations).
 MARGIN = 0.2
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -49,8 +51,8 @@ def samples(shingles: np.ndarray) -> np.ndarray:
     return mix(least ^ _SALTS)
 
 
-def odd_sketch(found: np.ndarray) -> np.ndarray:
-    bits = np.bincount((found % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+def odd_sketch(found: np.ndarray, size: int = SKETCH_BITS) -> np.ndarray:
+    bits = np.bincount((found % np.uint64(size)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.uint64)
 
 
@@ -60,7 +62,7 @@ def differing_bits(threshold: float) -> int:
     return int(np.floor(n / 2 * (1 - np.exp(4 * k / n * (threshold - 1)))))
 
 
-SIGNATURES = "doc_id long, k1 long, k2 long, n int, c1 long, c2 long, sketch array<long>, bands array<long>"
+SIGNATURES = "doc_id long, k1 long, k2 long, n int, c1 long, c2 long, sketch array<long>, parity array<long>, bands array<long>"
 
 
 def signatures(keyed: DataFrame, size: int) -> DataFrame:
@@ -72,6 +74,7 @@ def signatures(keyed: DataFrame, size: int) -> DataFrame:
                 found = [samples(s) if len(s) else None for s in sets]
                 bands = [None if f is None else spans_hash(f, np.arange(0, len(f), ROWS), ROWS, _SPAN) ^ salts for f in found]
                 sketches = [None if f is None else odd_sketch(f) for f in found]
+                parities = [odd_sketch(s, PARITY_BITS) for s in sets]
                 of_class = [(int(mix(s).sum()), int(mix(s ^ _SALTS[0]).sum())) if len(s) else (0, 0) for s in sets]
                 rows = slice(at, at + len(texts))
                 yield pa.RecordBatch.from_arrays(
@@ -79,7 +82,7 @@ def signatures(keyed: DataFrame, size: int) -> DataFrame:
                         *(batch.column(i)[rows] for i in range(3)),
                         pa.array([len(s) for s in sets], pa.int32()),
                         *(_signed(np.array([c[i] for c in of_class], dtype=np.uint64)) for i in (0, 1)),
-                        *(pa.array([None if x is None else x.view(np.int64) for x in column], pa.list_(pa.int64())) for column in (sketches, bands)),
+                        *(pa.array([None if x is None else x.view(np.int64) for x in column], pa.list_(pa.int64())) for column in (sketches, parities, bands)),
                     ],
                     names=[f.split()[0] for f in SIGNATURES.split(", ")],
                 )
@@ -119,18 +122,23 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty())
     keyed = keyed.select("doc_id", F.xxhash64("doc_id", "text").alias("k1"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("k2"), "text")
     rows = written(signatures(keyed, size), "signatures")
-    classes = rows.where("n > 0").groupBy("c1", "c2").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"), F.min(F.struct("k1", "k2")).alias("at"))
+    classes = rows.where("n > 0").groupBy("c1", "c2").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("parity").alias("parity"), F.first("bands").alias("bands"), F.min(F.struct("k1", "k2")).alias("at"))
     classes = written(classes, "classes")
     bands = classes.select(F.explode("bands").alias("band"), F.col("c1").alias("v"))
     leaders = written(bands.groupBy("band").agg(F.min("v").alias("u"), F.count("*").alias("c")).where("c > 1").drop("c"), "leaders")
     shared = written(bands.join(leaders, "band"), "buckets")  # every class in a bucket of two or more, with its leader
-    sketch = classes.select("c1", "n", *(F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_BITS // 64)))
+    sketch = classes.select("c1", "n", *(F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_BITS // 64)), *(F.col("parity")[i].alias(f"p{i}") for i in range(PARITY_BITS // 64)))
+
+    def differing(a: str, b: str, name: str, size: int):
+        each = [F.bit_count(F.col(f"{a}.{name}{i}").bitwiseXOR(F.col(f"{b}.{name}{i}"))) for i in range(size // 64)]
+        return reduce(lambda x, y: x + y, each)
 
     def similar(a: str, b: str):
         """What sizes and sketches leave possible."""
-        bits = sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(1, SKETCH_BITS // 64)), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
         sizes = (100 * F.least(f"{a}.n", f"{b}.n")) >= threshold * F.greatest(f"{a}.n", f"{b}.n")
-        return sizes & (bits <= differing_bits(threshold / 100 - MARGIN))
+        # Linked sets differ in at most (1 - t) / (1 + t) of their joint size, their parity maps in no more bits.
+        apart = (100 + threshold) * differing(a, b, "p", PARITY_BITS) <= (100 - threshold) * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+        return sizes & (differing(a, b, "s", SKETCH_BITS) <= differing_bits(threshold / 100 - MARGIN)) & apart
 
     def in_order(a: str, b: str) -> tuple:
         return F.least(a, b).alias("u"), F.greatest(a, b).alias("v")
