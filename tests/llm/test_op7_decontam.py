@@ -52,3 +52,11 @@ def test_joined_anchors_equal_listed_ones(spark, monkeypatch):
     monkeypatch.setattr(decontam, "LISTED_ANCHORS", 0)
     monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", 0)
     assert sorted(map(tuple, decontam.matches(docs, bench).collect())) == listed
+
+
+def test_capitals_hide_no_passage(spark):
+    docs = spark.createDataFrame([(1, f"Before it. {ITEM.upper()} AFTER IT."), (2, ITEM.title()), (3, CASES[2]), (4, CLEAN.upper())], "doc_id long, text string")
+    upper = spark.createDataFrame([(70, ITEM)], "item_id long, text string")
+    assert {r["doc_id"] for r in decontam.decontaminate(docs, upper).collect() if r["contaminated"]} == {1, 2, 3}
+    upper = spark.createDataFrame([(70, ITEM.upper())], "item_id long, text string")  # and the other way round
+    assert {r["doc_id"] for r in decontam.decontaminate(docs, upper).collect() if r["contaminated"]} == {1, 2, 3}

@@ -1,7 +1,8 @@
 """Benchmark decontamination by templates, in DataFrame functions alone.
 
 Words become template tokens: numbers, units after numbers and capitalised words inside sentences turn into typed
-placeholders, others into lower case. Windows of 13 template tokens of the benchmark are hash-joined with the documents
+placeholders, others into lower case. Capitals tell no names where a text is in capitals or title case, so every window
+is also compared without names, its words folded. Windows of 13 template tokens of the benchmark are hash-joined with the documents
 through an anchor, the longest literal word of the window, so that only places that hold an anchor are compared. A match
 then has to fill its placeholders consistently: one value of the question stands for one value of the document.
 """
@@ -38,33 +39,35 @@ def literal(word: Column) -> Column:
     return F.translate(F.lower(word), ".!?'", "")
 
 
-def token(word: Column, before: Column) -> Column:
-    """The template token of a word, given the word before it (null at the start)."""
+def token(word: Column, before: Column, names: bool = True) -> Column:
+    """The template token of a word, given the word before it (null at the start); without names capitals say nothing."""
     number = lambda w: w.rlike(r"^[$€£]?\p{N}+[%$€£]?[.!?']*$")
-    return (
-        F.when(number(word), _NUMBER)
-        .when(number(before) & literal(word).isin(UNITS), _UNIT)
-        .when(word.rlike(r"^\p{Lu}") & before.rlike(r"[^.!?]$"), _NAME)
-        .otherwise(literal(word))
-    )
+    found = F.when(number(word), _NUMBER).when(number(before) & literal(word).isin(UNITS), _UNIT)
+    if names:
+        found = found.when(word.rlike(r"^\p{Lu}") & before.rlike(r"[^.!?]$"), _NAME)
+    return found.otherwise(literal(word))
 
 
-def template(of: Column, start: Column, size: Column) -> Column:
+def template(of: Column, start: Column, size: Column, names: bool = True) -> Column:
     """The template tokens of the words from place start (from 0) on."""
-    return F.transform(F.sequence(start, start + size - 1), lambda i: token(F.get(of, i), F.get(of, i - 1)))
+    return F.transform(F.sequence(start, start + size - 1), lambda i: token(F.get(of, i), F.get(of, i - 1), names))
 
 
 def benchmark_windows(benchmark: DataFrame, window: int, shortest: int) -> DataFrame:
-    """One row for each window of benchmark(item_id, text): item_id, q, size, win, anchor, off and the item's words iw."""
+    """One row for each window of benchmark(item_id, text): item_id, q, size, win, bare, anchor, off and the item's words iw.
+
+    win has names as placeholders and is null where that leaves too few literal words; bare has none."""
     items = benchmark.where(F.col("text").isNotNull()).select("item_id", words(F.col("text")).alias("iw"))
     items = items.where(F.size("iw") >= shortest).withColumn("size", F.least(F.lit(window), F.size("iw")))
     items = items.withColumn("q", F.explode(F.sequence(F.lit(0), F.size("iw") - F.col("size"))))
-    items = items.withColumn("win", template(F.col("iw"), F.col("q"), F.col("size")))
-    plain = F.filter("win", lambda w: ~w.isin(_NUMBER, _NAME, _UNIT))
-    items = items.withColumn("plain", plain).where(F.size("plain") >= F.least(F.lit(LITERALS), F.col("size")))
+    items = items.withColumns({"win": template(F.col("iw"), F.col("q"), F.col("size")), "bare": template(F.col("iw"), F.col("q"), F.col("size"), names=False)})
+    plain = lambda of: F.filter(of, lambda w: ~w.isin(_NUMBER, _NAME, _UNIT))
+    enough = lambda of: F.size(plain(of)) >= F.least(F.lit(LITERALS), F.col("size"))
+    items = items.where(enough("bare")).withColumn("win", F.when(enough("win"), F.col("win")))
+    items = items.withColumn("plain", plain(F.coalesce("win", "bare")))  # what is literal in win is so in bare
     longest = F.array_max(F.transform("plain", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
-    items = items.withColumn("anchor", longest["w"]).withColumn("off", (F.array_position("win", F.col("anchor")) - 1).cast("int"))
-    return items.select("item_id", "q", "size", "win", "anchor", "off", F.slice("iw", F.col("q") + 1, F.col("size")).alias("iw"))
+    items = items.withColumn("anchor", longest["w"]).withColumn("off", (F.array_position(F.coalesce("win", "bare"), F.col("anchor")) - 1).cast("int"))
+    return items.select("item_id", "q", "size", "win", "bare", "anchor", "off", F.slice("iw", F.col("q") + 1, F.col("size")).alias("iw"))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shortest: int = SHORTEST) -> DataFrame:
@@ -86,7 +89,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shortes
     small = found.count() <= BROADCAST_WINDOWS
     joined = placed.join(F.broadcast(found) if small else found, "anchor")
     joined = joined.withColumn("start", F.col("at") - F.col("off")).where((F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.size("w")))
-    joined = joined.where(template(F.col("w"), F.col("start"), F.col("size")) == F.col("win"))
+    # Literal words of both templates first: they cost least and rule most places out.
+    same = lambda t, i: t.isin(_NUMBER, _NAME, _UNIT) | (literal(F.get("w", F.col("start") + i)) == t)
+    joined = joined.where(F.forall(F.transform(F.coalesce("win", "bare"), lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda x: same(x["t"], x["i"])))
+    of = lambda names: template(F.col("w"), F.col("start"), F.col("size"), names)
+    joined = joined.withColumn("win", F.when(of(True) == F.col("win"), F.col("win")).when(of(False) == F.col("bare"), F.col("bare"))).where("win is not null")
     joined = joined.select("k", "item_id", (F.col("start") + F.col("shift")).alias("p"), "q", "win", "iw", F.slice("w", F.col("start") + 1, F.col("size")).alias("dw"))
     joined = written(joined, "matches")
     slots = joined.withColumn("line", F.col("p") - F.col("q")).select("k", "item_id", "line", F.inline(F.arrays_zip("win", "iw", "dw")))
