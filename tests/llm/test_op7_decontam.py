@@ -60,3 +60,10 @@ def test_capitals_hide_no_passage(spark):
     assert {r["doc_id"] for r in decontam.decontaminate(docs, upper).collect() if r["contaminated"]} == {1, 2, 3}
     upper = spark.createDataFrame([(70, ITEM.upper())], "item_id long, text string")  # and the other way round
     assert {r["doc_id"] for r in decontam.decontaminate(docs, upper).collect() if r["contaminated"]} == {1, 2, 3}
+
+
+def test_edited_value_leaves_verbatim_windows(spark):
+    docs = spark.createDataFrame([(4, CASES[4]), (5, CASES[4].replace("Alice", "Maria").replace("how much", "how very much"))], "k long, text string")
+    found = sorted((r["k"], r["q"]) for r in decontam.matches(docs, spark.createDataFrame([(70, ITEM)], "item_id long, text string")).collect())
+    # The 15 words after the second number: three windows of the item's own words; none where neither values nor words are whole.
+    assert found == [(4, 13), (4, 14), (4, 15)]

@@ -4,7 +4,8 @@ Words become template tokens: numbers, units after numbers and capitalised words
 placeholders, others into lower case. Capitals tell no names where a text is in capitals or title case, so every window
 is also compared without names, its words folded. Windows of 13 template tokens of the benchmark are hash-joined with the documents
 through an anchor, the longest literal word of the window, so that only places that hold an anchor are compared. A match
-then has to fill its placeholders consistently: one value of the question stands for one value of the document.
+then has to fill its placeholders consistently: one value of the question stands for one value of the document. Windows
+that have the words of the question itself count whatever values others have.
 """
 
 from __future__ import annotations
@@ -99,8 +100,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shortes
     slots = joined.withColumn("line", F.col("p") - F.col("q")).select("k", "item_id", "line", F.inline(F.arrays_zip("win", "iw", "dw")))
     slots = slots.where(F.col("win").isin(_NUMBER, _NAME)).select("k", "item_id", "line", "win", literal(F.col("iw")).alias("i"), literal(F.col("dw")).alias("d"))
     torn = slots.groupBy("k", "item_id", "line", "win", "i").agg((F.min("d") != F.max("d")).alias("torn")).where("torn").select("k", "item_id", "line").distinct()
-    lines = joined.withColumn("line", F.col("p") - F.col("q")).join(torn, ["k", "item_id", "line"], "left_anti")
-    return lines.select("k", "item_id", "p", "q")
+    # An edited value elsewhere in the line says nothing against windows that are the item's own words.
+    folded = lambda of: F.transform(of, literal)
+    lines = joined.withColumns({"line": F.col("p") - F.col("q"), "own": folded("iw") == folded("dw")})
+    kept = lines.where("own").unionByName(lines.where("not own").join(torn, ["k", "item_id", "line"], "left_anti"))
+    return kept.select("k", "item_id", "p", "q")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shortest: int = SHORTEST) -> DataFrame:
