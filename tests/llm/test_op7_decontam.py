@@ -67,3 +67,11 @@ def test_edited_value_leaves_verbatim_windows(spark):
     found = sorted((r["k"], r["q"]) for r in decontam.matches(docs, spark.createDataFrame([(70, ITEM)], "item_id long, text string")).collect())
     # The 15 words after the second number: three windows of the item's own words; none where neither values nor words are whole.
     assert found == [(4, 13), (4, 14), (4, 15)]
+
+
+def test_short_and_placeholder_items_count_word_for_word(spark):
+    items = {1: "Who wrote the old song?", 2: "What is the tallest of all mountains here?", 3: "12 15 18 21 24 27 30 33 36 39", 4: "Alice Bob Carol Dave Erin Frank Grace Heidi Ivan Judy", 5: "", 6: "?!"}
+    texts = {1: "Question who wrote the OLD song then", 2: f"Question: {items[2]}", 3: f"Go on with {items[3]} and so on", 4: f"we met {items[4]} there", 5: CLEAN, 6: "Who wrote the new song? 13 15 18 21 24 27 30 33 36 39"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = decontam.decontaminate(docs, spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()
+    assert {r["doc_id"]: r["item_ids"] for r in found} == {1: [1], 2: [2], 3: [3], 4: [4], 5: [], 6: []}

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from tropica.llm.common import written
 
-#: Template tokens of a window; shorter items count whole, below SHORTEST they are too short to tell.
+#: Template tokens of a window; shorter items count whole, below SHORTEST only word for word.
 WINDOW, SHORTEST = 13, 8
-#: Literal tokens that a window needs, so that placeholders alone never match.
+#: Literal tokens that a template needs, so that placeholders alone never match; windows with fewer count word for word.
 LITERALS = 6
 #: Up to this many benchmark windows (some 200 bytes each) are sent to all executors; more are joined by a shuffle.
 BROADCAST_WINDOWS = 100_000
@@ -55,20 +55,20 @@ def template(of: Column, start: Column, size: Column, names: bool = True) -> Col
 
 
 def benchmark_windows(benchmark: DataFrame, window: int, shortest: int) -> DataFrame:
-    """One row for each window of benchmark(item_id, text): item_id, q, size, win, bare, anchor, off and the item's words iw.
+    """One row for each window of benchmark(item_id, text): item_id, q, size, win, bare, own (folded words), anchor, off and the item's words iw.
 
-    win has names as placeholders and is null where that leaves too few literal words; bare has none."""
+    win has names as placeholders, bare has none; they are null where too few literal words are left."""
     items = benchmark.where(F.col("text").isNotNull()).select("item_id", words(F.col("text")).alias("iw"))
-    items = items.where(F.size("iw") >= shortest).withColumn("size", F.least(F.lit(window), F.size("iw")))
+    items = items.where(F.size("iw") > 0).withColumn("size", F.least(F.lit(window), F.size("iw")))
     items = items.withColumn("q", F.explode(F.sequence(F.lit(0), F.size("iw") - F.col("size"))))
     items = items.withColumns({"win": template(F.col("iw"), F.col("q"), F.col("size")), "bare": template(F.col("iw"), F.col("q"), F.col("size"), names=False)})
     plain = lambda of: F.filter(of, lambda w: ~w.isin(_NUMBER, _NAME, _UNIT))
-    enough = lambda of: F.size(plain(of)) >= F.least(F.lit(LITERALS), F.col("size"))
-    items = items.where(enough("bare")).withColumn("win", F.when(enough("win"), F.col("win")))
-    items = items.withColumn("plain", plain(F.coalesce("win", "bare")))  # what is literal in win is so in bare
+    enough = lambda of: F.when((F.size("iw") >= shortest) & (F.size(plain(of)) >= F.least(F.lit(LITERALS), F.col("size"))), F.col(of))
+    items = items.withColumns({"win": enough("win"), "bare": enough("bare"), "own": F.transform(F.slice("iw", F.col("q") + 1, F.col("size")), literal)})
+    items = items.withColumn("plain", F.coalesce(plain("win"), plain("bare"), "own"))  # what is literal in one is so in the next
     longest = F.array_max(F.transform("plain", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
-    items = items.withColumn("anchor", longest["w"]).withColumn("off", (F.array_position(F.coalesce("win", "bare"), F.col("anchor")) - 1).cast("int"))
-    return items.select("item_id", "q", "size", "win", "bare", "anchor", "off", F.slice("iw", F.col("q") + 1, F.col("size")).alias("iw"))
+    items = items.withColumn("anchor", longest["w"]).withColumn("off", (F.array_position(F.coalesce("win", "bare", "own"), F.col("anchor")) - 1).cast("int"))
+    return items.select("item_id", "q", "size", "win", "bare", "own", "anchor", "off", F.slice("iw", F.col("q") + 1, F.col("size")).alias("iw"))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shortest: int = SHORTEST) -> DataFrame:
@@ -92,9 +92,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shortes
     joined = joined.withColumn("start", F.col("at") - F.col("off")).where((F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.size("w")))
     # Literal words of both templates first: they cost least and rule most places out.
     same = lambda t, i: t.isin(_NUMBER, _NAME, _UNIT) | (literal(F.get("w", F.col("start") + i)) == t)
-    joined = joined.where(F.forall(F.transform(F.coalesce("win", "bare"), lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda x: same(x["t"], x["i"])))
+    joined = joined.where(F.forall(F.transform(F.coalesce("win", "bare", "own"), lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda x: same(x["t"], x["i"])))
     of = lambda names: template(F.col("w"), F.col("start"), F.col("size"), names)
-    joined = joined.withColumn("win", F.when(of(True) == F.col("win"), F.col("win")).when(of(False) == F.col("bare"), F.col("bare"))).where("win is not null")
+    joined = joined.withColumn("win", F.when(of(True) == F.col("win"), F.col("win")).when(of(False) == F.col("bare"), F.col("bare")).when(F.transform(F.slice("w", F.col("start") + 1, F.col("size")), literal) == F.col("own"), F.col("own"))).where("win is not null")
     joined = joined.select("k", "item_id", (F.col("start") + F.col("shift")).alias("p"), "q", "win", "iw", F.slice("w", F.col("start") + 1, F.col("size")).alias("dw"))
     joined = written(joined, "matches")
     slots = joined.withColumn("line", F.col("p") - F.col("q")).select("k", "item_id", "line", F.inline(F.arrays_zip("win", "iw", "dw")))
@@ -110,8 +110,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shortes
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shortest: int = SHORTEST) -> DataFrame:
     """docs with contaminated, n_windows and item_ids (the items found, ascending; empty where none).
 
-    Null and empty texts, an empty table and an empty benchmark give no matches; items without text, with fewer than 8
-    words or hardly a literal word are not searched. Rows that repeat are judged alike; other columns pass through,
+    Null and empty texts, an empty table and an empty benchmark give no matches, nor do items without words. Items with
+    fewer than 8 words count where they occur whole, word for word but for case, as do windows with hardly a literal word. Rows that repeat are judged alike; other columns pass through,
     those named like the result are replaced."""
     rows = docs.drop("contaminated", "n_windows", "item_ids").withColumn("_k", F.xxhash64("doc_id", "text"))
     found = matches(rows.select(F.col("_k").alias("k"), "text").where("text is not null"), benchmark, window, shortest)
