@@ -35,9 +35,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of 35 words that occur elsewhere; a text that nothing is cut from stays as it was."""
-    kept = substrings.remove_repeats(docs)
-    cut = kept.where("n_removed > 0").groupBy("doc_id").agg(F.max("kept").alias("_kept"))
-    joined = docs.select(COLUMNS).join(cut.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    cut = substrings.keyed_repeats(docs).where("n_removed > 0").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("kept").alias("_kept"))
+    keys = substrings.row_keys()
+    joined = docs.select(COLUMNS).join(cut.dropDuplicates(["_k1", "_k2"]), (keys["k1"] == F.col("_k1")) & (keys["k2"] == F.col("_k2")), "left")
     changed = F.col("_kept").isNotNull()
     rows = joined.withColumns({"text": F.when(changed, F.col("_kept")).otherwise(F.col("text")), "n_chars": F.when(changed, F.length("_kept").cast("long")).otherwise(F.col("n_chars"))})
     return rows.where(~changed | (F.col("text") != "")).select(COLUMNS)  # a document that was nothing else goes

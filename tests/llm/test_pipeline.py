@@ -31,3 +31,13 @@ def test_each_stage_takes_effect(spark, tmp_path):
     assert set(seen["packing"]) == set(seen["decontamination"])
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "substrings", "decontamination", "packing"]
     assert (quality.CUTOFF, substrings.WINDOW, packing.CAPACITY) == (0.7, 35, 2048)
+
+
+def test_cut_texts_stay_with_their_rows(spark):
+    draw = random.Random(3)
+    say = lambda n: " ".join(f"w{draw.randrange(5000)}" for _ in range(n))
+    passage, head, clean, other = say(40), say(20), say(50), say(60)
+    rows = [(None, f"{head} {passage}"), (None, clean), (7, f"{passage}"), (7, other), (8, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.substring_stage(spark, docs, "").collect()
+    assert sorted(((r["doc_id"], r["text"], r["n_chars"]) for r in out), key=str) == sorted([(None, head, len(head)), (None, clean, len(clean)), (7, other, len(other)), (8, None, 0)], key=str)

@@ -19,7 +19,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tropica.llm.common import text_or_empty, written
@@ -110,10 +110,15 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def row_keys() -> dict[str, Column]:
     """k1 and k2 tell rows apart (equal rows share them, and their windows repeat anyway)."""
+    doc_id = F.col("doc_id").cast("long")
+    return {"k1": F.xxhash64(doc_id, F.coalesce("text", F.lit(""))), "k2": F.coalesce(doc_id, F.lit(0).cast("long"))}
+
+
+def keyed_rows(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty())
-    return docs.withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.coalesce("doc_id", F.lit(0).cast("long"))})
+    return docs.withColumns(row_keys())
 
 
 def find_fragments(keyed: DataFrame, window: int, kmer: int) -> DataFrame:
@@ -155,6 +160,9 @@ def _result(doc_id, words: list[bytes], gone: np.ndarray, digest: bool) -> dict:
     return {"doc_id": doc_id, "n_words": len(words), "n_removed": int(gone.sum()), "removed": _spans(gone), "kept": _render(words, gone, digest)}
 
 
+KEYED_OUT, _KEYED_OUT = f"{OUT}, k1 long, k2 long", pa.struct([*_OUT, ("k1", pa.int64()), ("k2", pa.int64())])
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, digest: bool = False) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, n_words, n_removed, removed (spans of word places) and kept.
 
@@ -162,7 +170,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, dige
     starts elsewhere in the input, in the same document or another; of a repeated passage no copy stays. kept holds
     the other words joined by one space, or with digest its SHA-256. Null and empty texts have no words, documents
     shorter than a window lose none, rows that repeat (null doc_id too) are judged like any others."""
-    keyed = _keyed(docs)
+    return keyed_repeats(docs, window, kmer, digest).drop("k1", "k2")
+
+
+def keyed_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, digest: bool = False) -> DataFrame:
+    """What remove_repeats returns, with the keys k1 and k2 of each row."""
+    keyed = keyed_rows(docs)
     all_fragments = written(find_fragments(keyed, window, kmer), "fragments")
     shared = all_fragments.groupBy("mh").agg(F.count("*").alias("c"), (F.min("ch") != F.max("ch")).alias("open")).where("c > 1").drop("c")
     shared = written(shared, "least")  # a table of its own: the join below can then split a least k-mer that is everywhere
@@ -217,21 +230,21 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, dige
     known = first.where("known_wh is not null").select(F.explode(F.arrays_zip("known_mh", "known_wh")).alias("w")).select(F.col("w.known_mh").alias("mh"), F.col("w.known_wh").alias("wh"), F.lit(2).alias("c"))
     twice = probes.select("mh", "wh", F.lit(1).alias("c")).unionByName(known).groupBy("mh", "wh").agg(F.sum("c").alias("c")).where("c > 1")
     found = probes.join(twice, ["mh", "wh"], "left_semi").groupBy("k1", "k2").agg(F.collect_list("p").alias("found"))
-    rest = first.where("probe is not null").select("k1", "k2", "done.doc_id", "text", "p", "n").join(found, ["k1", "k2"], "left")
+    rest = first.where("probe is not null").select("done.doc_id", "text", "p", "n", "k1", "k2").join(found, ["k1", "k2"], "left")
 
     def second_pass(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, text, p, n, found in zip(*batch.columns, strict=True):
+            for doc_id, text, p, n, k1, k2, found in zip(*batch.columns, strict=True):
                 words = text.as_py().split()
                 own = np.array(found.as_py() or [], dtype=np.int64)
                 starts = np.concatenate([np.array(p.as_py(), dtype=np.int64), own])
                 windows = np.concatenate([np.array(n.as_py(), dtype=np.int64), np.ones(len(own), dtype=np.int64)])
-                rows.append(_result(doc_id.as_py(), words, covered(len(words), starts, windows, window), digest))
-            yield pa.RecordBatch.from_pylist(rows, pa.schema(list(_OUT)))
+                rows.append(_result(doc_id.as_py(), words, covered(len(words), starts, windows, window), digest) | {"k1": k1.as_py(), "k2": k2.as_py()})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema(list(_KEYED_OUT)))
 
-    rest = rest.select("doc_id", "text", "p", "n", "found").mapInArrow(second_pass, OUT)
-    return first.where("probe is null").select("done.*").unionByName(rest)
+    rest = rest.select("doc_id", "text", "p", "n", "k1", "k2", "found").mapInArrow(second_pass, KEYED_OUT)
+    return first.where("probe is null").select("done.*", "k1", "k2").unionByName(rest)
 
 
 FIRST = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("done", _OUT), ("text", pa.binary()), ("p", pa.list_(pa.int32())), ("n", pa.list_(pa.int32())), ("probe", pa.list_(pa.int32())), *((c, pa.list_(pa.int64())) for c in ("probe_mh", "probe_wh", "known_mh", "known_wh"))])
