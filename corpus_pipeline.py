@@ -25,12 +25,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id, of several rows of it one."""
-    classes = neardup.near_duplicates(docs)
-    kept = classes.where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    first = docs.select(COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    repeated = first.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
-    return first.join(repeated, "doc_id", "left_anti").select(COLUMNS).unionByName(first.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(COLUMNS))
+    """One row of each group of near duplicates: that with the smallest doc_id, of several rows of it one; rows without words stay."""
+    keys = substrings.row_keys()
+    kept = written(neardup.kept_rows(docs).withColumnsRenamed({"k1": "_k1", "k2": "_k2"}), "kept")
+    rows = docs.select(COLUMNS).withColumns({"_k1": keys["k1"], "_k2": keys["k2"]}).join(kept, ["_k1", "_k2"])
+    copies = rows.where("linked").groupBy("_k1", "_k2").agg(F.min(F.struct(COLUMNS)).alias("row")).select("row.*")  # rows that repeat in full text too
+    return rows.where("linked is null").select(COLUMNS).unionByName(copies)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,3 +41,15 @@ def test_cut_texts_stay_with_their_rows(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     out = corpus_pipeline.substring_stage(spark, docs, "").collect()
     assert sorted(((r["doc_id"], r["text"], r["n_chars"]) for r in out), key=str) == sorted([(None, head, len(head)), (None, clean, len(clean)), (7, other, len(other)), (8, None, 0)], key=str)
+
+
+def test_only_linked_rows_drop(spark):
+    draw = random.Random(4)
+    say = lambda n: " ".join(f"w{draw.randrange(5000)}" for _ in range(n))
+    a, b, c, d, e = (say(60) for _ in range(5))
+    rows = [(1, a), (1, b), (2, b), (3, c), (3, c), (None, c), (None, d), (None, e), (None, f"{e} more"), (4, None), (4, ""), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()), key=str)
+    of_e = [x for x in out if x[0] is None and x[1].startswith(e)]
+    assert len(of_e) == 1
+    assert [x for x in out if x not in of_e] == sorted([(1, a), (1, b), (3, c), (None, d), (4, None), (4, ""), (4, "")], key=str)

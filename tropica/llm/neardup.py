@@ -119,6 +119,21 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
     have a Jaccard similarity of at least threshold / 100. component_id is the smallest doc_id that links reach, kept
     marks it. Null, empty and blank texts have an empty set and stay alone. Null doc_id take part, but never name a
     component while a doc_id is there; rows that repeat a doc_id are all kept or all not."""
+    placed = _placed(docs, size, threshold)
+    return placed.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def kept_rows(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+    """The keys (k1, k2) of rows to keep, with linked (null for rows without words, which all stay): of each component
+    the row with the smallest doc_id, null last, and of several rows of that doc_id the one with the least k1."""
+    placed = written(_placed(docs, size, threshold).select("doc_id", "k1", "k2", "component"), "placed")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "k2", "k1")).alias("first")
+    linked = placed.where("component is not null").groupBy("component").agg(first).select("first.k1", "first.k2", F.lit(True).alias("linked"))
+    return linked.unionByName(placed.where("component is null").select("k1", "k2", F.lit(None).cast("boolean").alias("linked")).distinct())
+
+
+def _placed(docs: DataFrame, size: int, threshold: int) -> DataFrame:
+    """Per row doc_id, k1, k2, n, component and component_id."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty())
     keyed = keyed.select("doc_id", F.xxhash64("doc_id", "text").alias("k1"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("k2"), "text")
     rows = written(signatures(keyed, size), "signatures")
@@ -183,12 +198,11 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
         more = a.join(b, across & possible("a", "b")).select(*in_order("a.v", "b.v")).distinct()
         more = written(more.join(led, ["u", "v"], "left_anti").join(to_centre, ["u", "v"], "left_anti"), "across")
         part = components(links.unionByName(_confirm(more, sets, threshold)))
-    placed = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("c1")).alias("v"))
+    placed = rows.select("doc_id", "k1", "k2", "n", F.when(F.col("n") > 0, F.col("c1")).alias("v"))
     placed = placed.join(part.select(F.col("id").alias("v"), "component"), "v", "left").withColumn("component", F.coalesce("component", "v"))
     least = placed.where("v is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
     least = written(least, "least")
-    placed = placed.join(least, "component", "left").withColumn("component_id", F.when(F.col("v").isNull(), F.col("doc_id")).otherwise(F.col("least")))
-    return placed.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return placed.join(least, "component", "left").withColumn("component_id", F.when(F.col("v").isNull(), F.col("doc_id")).otherwise(F.col("least")))
 
 
 def op5_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
