@@ -225,3 +225,27 @@ def test_empty_graph(spark):
     assert triangles.triangle_count(g) == 0 and cores.kcore_all(g)[1] == 0 and column(communities.connected_components(g), "component") == [0, 1, 2]
     assert ranking.pagerank(g)[0].agg(F.sum("rank")).first()[0] == pytest.approx(1)
     assert communities.independent_set(g).count() == 3 and communities.spanning_forest(g.edges).count() == 0
+
+
+def test_whole_graphs_leave_no_row_out(spark, tmp_path):
+    from itertools import combinations
+
+    from tropica.plans import queries as named
+
+    orders = {1: [1, 2, 3, 4, 5], 2: [4, 6, 7], 3: [8, 9], 4: [1, 6]}  # no line is bulky
+    spark.createDataFrame([(o, p, 1.0) for o, ps in orders.items() for p in ps], "l_orderkey long, l_partkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(i, i, u) for i, u in enumerate([1, 2, 1, 2, 3, 4, 3])], "ts long, event_id long, user_id long").write.parquet(str(tmp_path / "events.parquet"))
+    found = named.queries()
+    rows = lambda name: sorted(map(tuple, found[name](spark, str(tmp_path)).collect()))
+    edges = {p for ps in orders.values() for p in combinations(ps, 2)}
+    trusses, k = [], 3
+    while edges:
+        triangles = lambda e: sum((min(e[0], c), max(e[0], c)) in edges and (min(e[1], c), max(e[1], c)) in edges for c in range(10))
+        while weak := {e for e in edges if triangles(e) < k - 2}:
+            edges -= weak
+        trusses.append((k, sum(map(triangles, edges)) // 3, len(edges)))
+        k += 1
+    assert [r for r in rows("all_ktruss_whole") if r[2]] == [r for r in trusses if r[2]]
+    assert rows("cc_min_label_whole") == [(i, 8 if i > 7 else 1) for i in range(1, 10)] and rows("cc_min_label") == []
+    assert rows("scc_min_id_whole") == [(1, 1), (2, 1), (3, 3), (4, 3)]  # 1 -> 2 happened twice
+    assert {n[:-6] for n in found if n.endswith("_whole")} == {*named._ON_PARTS, *named._ON_MOVES} and len(named._ON_PARTS) == 20

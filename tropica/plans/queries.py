@@ -49,8 +49,8 @@ def _rounded(df: DataFrame, column: str, digits: int = 6) -> DataFrame:
     return df.withColumn(column, F.round(F.col(column).cast("double"), digits))
 
 
-def _mis_report(spark: SparkSession, d: str) -> DataFrame:
-    g = bulk(spark, d)
+def _mis_report(g: graph.Graph) -> DataFrame:
+    spark = g.edges.sparkSession
     from tropica.plans.fixpoint import written
 
     chosen = written(communities.independent_set(g), "set")
@@ -60,17 +60,17 @@ def _mis_report(spark: SparkSession, d: str) -> DataFrame:
     return one_row(spark, violations=inside, uncovered=open_)
 
 
-def _msf_report(spark: SparkSession, d: str) -> DataFrame:
-    return communities.spanning_forest(bulk(spark, d).edges).agg(F.sum("w").cast("long").alias("weight"), F.count("*").alias("size"))
+def _msf_report(g: graph.Graph) -> DataFrame:
+    return communities.spanning_forest(g.edges).agg(F.sum("w").cast("long").alias("weight"), F.count("*").alias("size"))
 
 
 def _tc(method: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, d: one_row(spark, triangles=triangles.triangle_count(parts(spark, d), method))
 
 
-def _truss_report(spark: SparkSession, d: str) -> DataFrame:
-    rows = triangles.all_ktruss(bulk(spark, d))
-    return spark.createDataFrame([(r["k"], r["ntris"], r["nedges"]) for r in rows], "k long, ntris long, nedges long")
+def _truss_report(g: graph.Graph) -> DataFrame:
+    rows = triangles.all_ktruss(g)
+    return g.edges.sparkSession.createDataFrame([(r["k"], r["ntris"], r["nedges"]) for r in rows], "k long, ntris long, nedges long")
 
 
 def _dnn(spark: SparkSession, d: str) -> DataFrame:
@@ -94,10 +94,39 @@ def _assigned(g: graph.Graph) -> DataFrame:
     return s.accumulate(_vector(g), g.out_degree().where("degree > 5").select("id", F.col("degree").alias("x")), ["id"], "x", None, mask)
 
 
+#: Each is registered twice: by its name on a part of the graph, which its SQL has too (bulk lines; transitions that
+#: happened once), and as name_whole on all of it.
+_ON_PARTS: dict[str, Callable[[graph.Graph], DataFrame]] = {
+    "mxm_plus_pair_masked": lambda g: s.mxm(g.edges, g.edges, "plus_pair", mask=g.edges),
+    "mxm_plus_times": lambda g: s.mxm(g.edges, g.edges, "plus_times"),
+    "extract_gather": _extract,
+    "assign_masked": _assigned,
+    "bfs": lambda g: traversal.bfs(g, least_ids(g, 1)[0]),
+    "cc_min_label": communities.connected_components,
+    "sssp_distance": lambda g: traversal.shortest_paths(g, least_ids(g, 1)[0]),
+    "pagerank_gap_20": lambda g: _rounded(ranking.pagerank(g, fixed=20, sinks=False)[0], "rank"),
+    "betweenness_4": lambda g: _rounded(ranking.betweenness(g, least_ids(g, 4)), "centrality", 4),
+    "edge_support": lambda g: triangles.support(g.edges),
+    "ktruss_4": lambda g: triangles.ktruss(g, 4),
+    "all_ktruss": _truss_report,
+    "kcore_all": lambda g: cores.kcore_all(g)[0],
+    "kcore_3": lambda g: cores.kcore(g, 3),
+    "kcore_subgraph_3": lambda g: cores.kcore_subgraph(g, cores.kcore_all(g)[0], 3),
+    "cdlp_10": lambda g: communities.cdlp(g, 10)[0],
+    "mis_valid": _mis_report,
+    "msf_weight_size": _msf_report,
+    "graphlets": graphlets.graphlets,
+    "square_clustering": lambda g: _rounded(triangles.square_clustering(g), "c"),
+}
+_ON_MOVES: dict[str, Callable[[graph.Graph], DataFrame]] = {
+    "lcc_directed": lambda g: _rounded(triangles.lcc(g), "lcc"),
+    "scc_min_id": communities.strong_components,
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    t, p, q = user_transitions, parts, bulk
-    cdlp = lambda g: communities.cdlp(g, 10)[0]
-    return {
+    t, p = user_transitions, parts
+    found = {
         "out_degree": _on(t, lambda g: g.out_degree()),
         "in_degree": _on(t, lambda g: g.in_degree()),
         "edge_min_max": _on(t, lambda g: g.weight_range()),
@@ -109,40 +138,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "sort_by_degree": _on(p, lambda g: graph.sort_by_degree(g)),
         "mxv_plus_second": _on(t, lambda g: s.mxv(g.edges, _vector(g), "plus_second")),
         "vxm_min_plus": _on(t, lambda g: s.vxm(_vector(g), g.edges, "min_plus")),
-        "mxm_plus_pair_masked": _on(q, lambda g: s.mxm(g.edges, g.edges, "plus_pair", mask=g.edges)),
-        "mxm_plus_times": _on(q, lambda g: s.mxm(g.edges, g.edges, "plus_times")),
         "ewise_add_union": _on(t, lambda g: s.ewise_add(g.edges, g.transpose(), ["src", "dst"], "w", lambda a, b: a + b)),
         "ewise_mult_intersect": _on(t, lambda g: s.ewise_mult(g.edges, g.transpose(), ["src", "dst"], "w", lambda a, b: a * b)),
         "select_tril": _on(t, lambda g: s.select(g.edges, "tril", -1)),
         "reduce_rows": _on(t, lambda g: s.reduce_rows(g.edges)),
-        "extract_gather": _on(q, _extract),
-        "assign_masked": _on(q, _assigned),
-        "bfs": _on(q, lambda g: traversal.bfs(g, least_ids(g, 1)[0])),
-        "cc_min_label": _on(q, communities.connected_components),
-        "sssp_distance": _on(q, lambda g: traversal.shortest_paths(g, least_ids(g, 1)[0])),
         "bellman_ford": _on(t, lambda g: traversal.bellman_ford(g, least_ids(g, 1)[0])),
         "pagerank_20": _on(t, lambda g: _rounded(ranking.pagerank(g, fixed=20)[0], "rank")),
-        "pagerank_gap_20": _on(q, lambda g: _rounded(ranking.pagerank(g, fixed=20, sinks=False)[0], "rank")),
-        "betweenness_4": _on(q, lambda g: _rounded(ranking.betweenness(g, least_ids(g, 4)), "centrality", 4)),
         **{f"tc_{m}": _tc(m) for m in ("auto", *triangles.METHODS)},
         "triangles_per_vertex": _on(p, triangles.triangles_per_vertex),
-        "edge_support": _on(q, lambda g: triangles.support(g.edges)),
-        "ktruss_4": _on(q, lambda g: triangles.ktruss(g, 4)),
-        "all_ktruss": _truss_report,
-        "kcore_all": _on(q, lambda g: cores.kcore_all(g)[0]),
-        "kcore_3": _on(q, lambda g: cores.kcore(g, 3)),
-        "kcore_subgraph_3": _on(q, lambda g: cores.kcore_subgraph(g, cores.kcore_all(g)[0], 3)),
-        "cdlp_10": _on(q, cdlp),
         "lcc_undirected": _on(p, lambda g: _rounded(triangles.lcc(g), "lcc")),
-        "lcc_directed": _on(rare, lambda g: _rounded(triangles.lcc(g), "lcc")),
         "triangle_centrality": _on(p, lambda g: _rounded(triangles.triangle_centrality(g)[0], "centrality")),
-        "mis_valid": _mis_report,
-        "msf_weight_size": _msf_report,
-        "scc_min_id": _on(rare, communities.strong_components),
-        "graphlets": _on(q, graphlets.graphlets),
-        "square_clustering": _on(q, lambda g: _rounded(triangles.square_clustering(g), "c")),
         "dnn_2layer": _dnn,
     }
+    for run, part, whole in ((_ON_PARTS, bulk, parts), (_ON_MOVES, rare, user_transitions)):
+        found |= {name: _on(part, of) for name, of in run.items()} | {f"{name}_whole": _on(whole, of) for name, of in run.items()}
+    return found
 
 
 P_SQL = "l as (select distinct l_orderkey as o, l_partkey as p from lineitem{}), e as materialized (select a.p as src, b.p as dst, count(*)::bigint as w from l a join l b on a.o = b.o and a.p <> b.p group by all), v as (select distinct src as id from e)"
