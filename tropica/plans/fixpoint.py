@@ -13,21 +13,38 @@ from tropica.errors import ConvergenceFailure
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below spark.checkpoint.dir, which every executor and the driver share.
+    """A fresh folder below spark.checkpoint.dir, which every executor and the driver share, with the scheme of its store.
 
     Only where the setting is absent (tests on one machine) a temporary folder stands in."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         base = tempfile.mkdtemp(prefix="tropica-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path, store = _located(spark, base)
+    return f"{store.makeQualified(path).toString().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _located(spark: SparkSession, path: str) -> tuple:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def written(df: DataFrame, name: str = "step") -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, without lineage, and safe from lost executors."""
     path = f"{work_dir(df.sparkSession, name)}.parquet"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def released(*frames: DataFrame) -> None:
+    """Removes tables of `written` that nothing will read any more."""
+    for df in frames:
+        if path := getattr(df, "_written_to", None):
+            where, store = _located(df.sparkSession, path)
+            store.delete(where, True)
+            df._written_to = None
 
 
 def fingerprint(df: DataFrame) -> tuple:
@@ -42,8 +59,9 @@ def until_stable(state: DataFrame, step: Callable[[DataFrame], DataFrame], most:
     state = written(state, name)
     before = fingerprint(state)
     for rounds in range(1, most + 1):
-        state = written(step(state), name)
+        last, state = state, written(step(state), name)
         now = fingerprint(state)
+        released(last)
         if now == before:
             return state, rounds
         before = now
