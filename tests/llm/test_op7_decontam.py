@@ -62,11 +62,24 @@ def test_capitals_hide_no_passage(spark):
     assert {r["doc_id"] for r in decontam.decontaminate(docs, upper).collect() if r["contaminated"]} == {1, 2, 3}
 
 
-def test_edited_value_leaves_verbatim_windows(spark):
+def test_slots_are_judged_inside_windows(spark):
     docs = spark.createDataFrame([(4, CASES[4]), (5, CASES[4].replace("Alice", "Maria").replace("how much", "how very much"))], "k long, text string")
     found = sorted((r["k"], r["q"]) for r in decontam.matches(docs, spark.createDataFrame([(70, ITEM)], "item_id long, text string")).collect())
-    # The 15 words after the second number: three windows of the item's own words; none where neither values nor words are whole.
-    assert found == [(4, 13), (4, 14), (4, 15)]
+    # Windows that hold both numbers (0 to 5) have two values for one; the second document has no other whole window.
+    assert found == [(4, q) for q in range(6, 16)]
+
+
+def test_one_altered_slot_hides_no_long_copy(spark):
+    item = "A tank with a volume of 12 litres is filled by a pump that moves 3 litres every minute, while a leak drains 12 buckets a day from it, and the owner wants to know how long the pump must run until the tank holds water up to its very brim without any of it lost."
+    docs = spark.createDataFrame([(1, item.replace("12 buckets", "13 buckets")), (2, item.replace("minute", "hour")), (3, CLEAN)], "doc_id long, text string")
+    found = decontam.decontaminate(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).orderBy("doc_id").collect()
+    assert [r["contaminated"] for r in found] == [True, True, False]
+
+
+def test_clashing_columns_pass_through(spark):
+    docs = spark.createDataFrame([(1, ITEM, 5, [6], 7, 8, 9, 10)], "doc_id long, text string, n int, ids array<int>, k int, _k int, row int, n_windows int")
+    found = decontam.decontaminate(docs, spark.createDataFrame([(70, ITEM)], "item_id long, text string")).first().asDict()
+    assert {k: found[k] for k in ("n", "ids", "k", "_k", "row")} == {"n": 5, "ids": [6], "k": 7, "_k": 8, "row": 9} and found["n_windows"] == 16
 
 
 def test_short_and_placeholder_items_count_word_for_word(spark):

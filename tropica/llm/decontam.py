@@ -4,8 +4,8 @@ Words become template tokens: numbers, units after numbers and capitalised words
 placeholders, others into lower case. Capitals tell no names where a text is in capitals or title case, so every window
 is also compared without names, its words folded. Windows of 13 template tokens of the benchmark are hash-joined with the documents
 through an anchor, the longest literal word of the window, so that only places that hold an anchor are compared. A match
-then has to fill its placeholders consistently: one value of the question stands for one value of the document. Windows
-that have the words of the question itself count whatever values others have.
+then has to fill the placeholders of its window consistently: one value of the question stands for one value of the
+document. Windows that have the words of the question itself count whatever values others have.
 """
 
 from __future__ import annotations
@@ -96,15 +96,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shortes
     of = lambda names: template(F.col("w"), F.col("start"), F.col("size"), names)
     joined = joined.withColumn("win", F.when(of(True) == F.col("win"), F.col("win")).when(of(False) == F.col("bare"), F.col("bare")).when(F.transform(F.slice("w", F.col("start") + 1, F.col("size")), literal) == F.col("own"), F.col("own"))).where("win is not null")
     joined = joined.select("k", "item_id", (F.col("start") + F.col("shift")).alias("p"), "q", "win", "iw", F.slice("w", F.col("start") + 1, F.col("size")).alias("dw"))
-    joined = written(joined, "matches")
-    slots = joined.withColumn("line", F.col("p") - F.col("q")).select("k", "item_id", "line", F.inline(F.arrays_zip("win", "iw", "dw")))
-    slots = slots.where(F.col("win").isin(_NUMBER, _NAME)).select("k", "item_id", "line", "win", literal(F.col("iw")).alias("i"), literal(F.col("dw")).alias("d"))
-    torn = slots.groupBy("k", "item_id", "line", "win", "i").agg((F.min("d") != F.max("d")).alias("torn")).where("torn").select("k", "item_id", "line").distinct()
-    # An edited value elsewhere in the line says nothing against windows that are the item's own words.
+    # Slots are judged inside the window: one value of the item stands for one value of the document. An edited value
+    # elsewhere says nothing against it, and windows that are the item's own words count whatever they hold.
     folded = lambda of: F.transform(of, literal)
-    lines = joined.withColumns({"line": F.col("p") - F.col("q"), "own": folded("iw") == folded("dw")})
-    kept = lines.where("own").unionByName(lines.where("not own").join(torn, ["k", "item_id", "line"], "left_anti"))
-    return kept.select("k", "item_id", "p", "q")
+    filled = F.filter(F.arrays_zip(F.col("win").alias("t"), folded("iw").alias("i"), folded("dw").alias("d")), lambda x: x["t"].isin(_NUMBER, _NAME, _UNIT))
+    values = lambda *names: F.size(F.array_distinct(F.transform("filled", lambda x: F.struct(*(x[n] for n in names)))))
+    joined = joined.withColumns({"filled": filled, "own": folded("iw") == folded("dw")})
+    return joined.where(F.col("own") | (values("t", "i") == values("t", "i", "d"))).select("k", "item_id", "p", "q")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shortest: int = SHORTEST) -> DataFrame:
@@ -113,11 +111,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     Null and empty texts, an empty table and an empty benchmark give no matches, nor do items without words. Items with
     fewer than 8 words count where they occur whole, word for word but for case, as do windows with hardly a literal word. Rows that repeat are judged alike; other columns pass through,
     those named like the result are replaced."""
-    rows = docs.drop("contaminated", "n_windows", "item_ids").withColumn("_k", F.xxhash64("doc_id", "text"))
-    found = matches(rows.select(F.col("_k").alias("k"), "text").where("text is not null"), benchmark, window, shortest)
-    hits = found.distinct().groupBy("k").agg(F.count_distinct("item_id", "p", "q").alias("n"), F.sort_array(F.collect_set("item_id")).alias("ids"))
-    rows = rows.join(hits, rows["_k"] == hits["k"], "left").drop("k", "_k")
-    return rows.withColumns({"contaminated": F.col("n").isNotNull(), "n_windows": F.coalesce("n", F.lit(0)), "item_ids": F.coalesce("ids", F.array().cast("array<long>"))}).drop("n", "ids")
+    docs = docs.drop("contaminated", "n_windows", "item_ids")
+    key = F.struct(F.xxhash64("doc_id", "text").alias("a"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("b"))
+    rows = docs.select(key.alias("k"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))  # names of the caller stay apart from those used here
+    found = matches(docs.select(key.alias("k"), "text").where("text is not null"), benchmark, window, shortest)
+    hits = found.distinct().groupBy("k").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("item_id")).alias("ids"))
+    n, ids = F.coalesce("n", F.lit(0)).alias("n_windows"), F.coalesce("ids", F.array().cast("array<long>")).alias("item_ids")
+    return rows.join(hits, "k", "left").select("row.*", F.col("n").isNotNull().alias("contaminated"), n, ids)
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:
@@ -127,8 +127,8 @@ def op7_decontamination(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "contaminated", F.col("n_windows").cast("long").alias("n_windows"), F.array_join("item_ids", ",").alias("item_ids"))
 
 
-def _sql_templates(table: str, key: str) -> str:
-    """The words w and template tokens t of every text, for brute force in SQL."""
+def _sql_words(table: str, key: str) -> str:
+    """Of every text its words w, template tokens with names t and without b, and folded words o, for brute force in SQL."""
     text = "' ' || text"
     for _ in range(2):
         text = rf"regexp_replace({text}, '(\p{{N}})[.,](\p{{N}})', '\1\2', 'g')"
@@ -138,23 +138,30 @@ def _sql_templates(table: str, key: str) -> str:
     number = r"regexp_matches({0}, '^[$€£]?\p{{N}}+[%$€£]?[.!?'']*$')"
     units = ", ".join(f"'{u}'" for u in UNITS)
     word, before = "w[i]", "coalesce(case when i > 1 then w[i - 1] end, '.')"
-    one = rf"case when {number.format(word)} then '<num>' when {number.format(before)} and {plain.format(word)} in ({units}) then '<unit>' when regexp_matches({word}, '^\p{{Lu}}') and regexp_matches({before}, '[^.!?]$') then '<name>' else {plain.format(word)} end"
-    return f"select id, w, list_transform(range(1, len(w) + 1), lambda i: {one}) as t from (select {key} as id, {split} as w from {table} where text is not null)"
+    typed = f"case when {number.format(word)} then '<num>' when {number.format(before)} and {plain.format(word)} in ({units}) then '<unit>'"
+    name = rf"when regexp_matches({word}, '^\p{{Lu}}') and regexp_matches({before}, '[^.!?]$') then '<name>'"
+    each = lambda value: f"list_transform(range(1, len(w) + 1), lambda i: {value})"
+    return f"select id, w, {each(f'{typed} {name} else {plain.format(word)} end')} as t, {each(f'{typed} else {plain.format(word)} end')} as b, {each(plain.format(word))} as o from (select {key} as id, {split} as w from {table} where text is not null)"
 
 
 def oracle() -> str:
-    tokens = _sql_templates
-    size = f"least({WINDOW}, len(w))"
-    window = lambda source: f"select id, p, n, array_to_string(t[p:p + n - 1], ' ') as k, w[p:p + n - 1] as v, t[p:p + n - 1] as t from (select id, unnest(range(1, len(w) - {size} + 2)) as p, {size} as n, w, t from {source} where len(w) >= {SHORTEST})"
+    """Every window of every item held against every window of every document: equal with names as placeholders, equal
+    without, or equal word for word; the first two only where enough literal words are left and placeholders are filled
+    consistently inside the window."""
+    part = lambda c: f"{c}[p:p + n - 1]"
+    slots = "('<num>', '<name>', '<unit>')"
+    enough = lambda c: f"case when long and len(list_filter({part(c)}, lambda x: x not in {slots})) >= least({LITERALS}, n) then array_to_string({part(c)}, ' ') end"
+    pairs = lambda c, extra: f"len(list_distinct(list_transform(list_filter(range(1, n + 1), lambda i: {c}[i] in {slots}), lambda i: {c}[i] || ' ' || iv[i]{extra})))"
+    fits = lambda c: pairs(c, "") + " = " + pairs(c, " || ' ' || dv[i]")
+    by = lambda key, c: f"select dw.id as doc_id, bw.id as item_id, dw.p, bw.p as q, dw.n, {c} as c, bw.iv, dw.dv from dw join bw on dw.n = bw.n and dw.{key} = bw.{key}"
     return f"""
-with d as ({tokens("documents", "doc_id")}), b as ({tokens("benchmark", "item_id")}),
-bw as (select * from ({window("b")}) where len(list_filter(t, lambda x: x not in ('<num>', '<name>', '<unit>'))) >= least({LITERALS}, n)),
+with d as materialized ({_sql_words("documents", "doc_id")}), i as materialized ({_sql_words("benchmark", "item_id")}),
+iw as (select id, unnest(range(1, len(w) - n + 2)) as p, n, t, b, o, len(w) >= {SHORTEST} as long from (select *, least({WINDOW}, len(w)) as n from i) where n > 0),
+bw as materialized (select id, p, n, {part('t')} as t, {part('b')} as b, {part('o')} as iv, {enough('t')} as kt, {enough('b')} as kb, array_to_string({part('o')}, ' ') as ko from iw),
 sizes as (select distinct n from bw),
-dw as (select id, p, n, array_to_string(t[p:p + n - 1], ' ') as k, w[p:p + n - 1] as v from (select id, n, unnest(range(1, len(w) - n + 2)) as p, w, t from d, sizes where len(w) >= n)),
-m as (select dw.id as doc_id, bw.id as item_id, dw.p, bw.p as q, dw.p - bw.p as line, bw.t, bw.v as iv, dw.v as dv from dw join bw on dw.k = bw.k and dw.n = bw.n),
-s as (select doc_id, item_id, line, unnest(t) as t, unnest(iv) as i, unnest(dv) as d from m),
-torn as (select distinct doc_id, item_id, line from (select doc_id, item_id, line, t, translate(lower(i), '.!?''', '') as i from s where t in ('<num>', '<name>') group by all having count(distinct translate(lower(d), '.!?''', '')) > 1)),
-ok as (select * from m anti join torn using (doc_id, item_id, line)),
-h as (select doc_id, count(distinct (item_id, p, q)) as n, array_to_string(list_sort(list(distinct item_id)), ',') as ids from ok group by doc_id)
+dp as (select id, n, unnest(range(1, len(w) - n + 2)) as p, t, b, o from d, sizes where len(w) >= n),
+dw as materialized (select id, p, n, {part('o')} as dv, array_to_string({part('t')}, ' ') as kt, array_to_string({part('b')}, ' ') as kb, array_to_string({part('o')}, ' ') as ko from dp),
+m as (select * from ({by('kt', 'bw.t')}) where {fits('c')} union all select * from ({by('kb', 'bw.b')}) where {fits('c')} union all {by('ko', 'bw.t')}),
+h as (select doc_id, count(distinct (item_id, p, q)) as n, array_to_string(list_sort(list(distinct item_id)), ',') as ids from m group by doc_id)
 select x.doc_id, h.n is not null as contaminated, coalesce(h.n, 0)::bigint as n_windows, coalesce(h.ids, '') as item_ids from documents x left join h using (doc_id)
 """
