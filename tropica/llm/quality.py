@@ -42,11 +42,10 @@ _KIND[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 3
 
 def words_and_shapes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bucket and shape of every word of all texts in one row, and the number of words of each text."""
-    hashes = word_hashes(texts)
-    sizes = np.array([len(h) for h in hashes])
-    if not sizes.sum():
+    hashes, sizes = word_hashes(texts)
+    if not len(hashes):
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), sizes
-    buckets = (np.concatenate(hashes) % np.uint64(BUCKETS)).astype(np.int64)
+    buckets = (hashes % np.uint64(BUCKETS)).astype(np.int64)
     data = np.frombuffer(b"\n".join([*texts, b""]), dtype=np.uint8)
     inside = ~_SPACES[data]
     kept = _KIND[data[inside]]
@@ -142,11 +141,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
     """Fits on labelled rows of docs(doc_id, text) that are not held out, at most `most` of them.
 
     With labels of one kind only every score is that label; without labels it is 1, as nothing speaks against a
-    document. Of several labels of a document the smallest counts; null labels and labels without text are left out."""
+    document. Of several labels of a document the smallest counts, of several texts that with the least hash; null labels and
+    labels without text are left out."""
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min(label).cast("double").alias("y"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # rows of two numbers: `most` bounds what is sent
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(known), "doc_id")
-    sample = written(sample.repartition(8, "doc_id", F.xxhash64("text")), "sample")
+    # One text for each label, the one of the least hash: a doc_id of many rows does not grow the sample.
+    sample = sample.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    sample = written(sample.repartition(8, "doc_id"), "sample")
     word_index, shape_index = index_vectors(BUCKETS, WORD_DIMS, 1), index_vectors(SHAPES, SHAPE_DIMS, 2)
 
     def contexts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +193,7 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
     All columns pass through; one named like the score is replaced."""
     docs = docs.drop(column)
     names = docs.columns
-    carried = docs.withColumn("_text", F.coalesce(F.col("text"), F.lit("")))
+    carried = docs.select("*", F.coalesce(F.col("text"), F.lit("")))  # found by its place, whatever names there are
     sent = docs.sparkSession.sparkContext.broadcast(model)  # some MB, whatever the corpus
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
