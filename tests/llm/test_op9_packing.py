@@ -67,3 +67,9 @@ def test_query_against_the_library(spark):
         cuts = [0, *range(first, len(ids), 2048), len(ids)] if len(ids) > 2048 else [0, len(ids)]
         want += [(doc_id, k, a, b - a, zlib.crc32(struct.pack(f"<{b - a}I", *ids[a:b]))) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
     assert sorted(((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in found), key=repr) == sorted(want, key=repr)
+
+
+def test_clashing_columns(spark):
+    frame = spark.createDataFrame([(5, "a", 1, 2, 3, "x"), (2048, "b", 1, 2, 3, "y")], "length long, offset string, sequence_id int, row int, block int, `c 0` string")
+    found = {r["length"]: r.asDict() for r in packing.pack(frame).collect()}
+    assert list(found[5]) == ["length", "row", "block", "c 0", "sequence_id", "offset"] and found[5]["c 0"] == "x" and found[2048]["offset"] == 0 and found[5]["block"] == 3

@@ -68,11 +68,11 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID,
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = struct.pack("<I", end_id)
-        ids_of = memo(vocabulary).encode
+        ids_of = memo(vocabulary).encode_all
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids, doc_id = memoryview(ids_of(text.as_py()) + tail), doc_id.as_py()
+            for doc_id, ids in zip(batch.column(0).to_pylist(), ids_of(batch.column(1).to_pylist()), strict=True):
+                ids = memoryview(ids + tail)
                 rows += [(doc_id, k, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)])) for k, (start, n) in enumerate(cut(len(ids) // 4, capacity))]
             columns = zip(*rows, strict=True) if rows else [[]] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
@@ -85,22 +85,24 @@ def pack(found: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_P
     """Adds sequence_id and offset to a written table with a column length (1 to capacity).
 
     Pieces of full length are sequences of their own (negative numbers) and skip the packing. An empty table gives an
-    empty result; rows that repeat are packed like any others."""
-    found = found.withColumn("_row", F.monotonically_increasing_id())
-    full, short = found.where(F.col("length") >= capacity), found.where(F.col("length") < capacity)
+    empty result; rows that repeat are packed like any others; columns named like the result are replaced, others pass
+    through."""
+    names = found.drop("sequence_id", "offset").columns
+    found = found.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), F.monotonically_increasing_id().alias("row"))
+    length, columns = f"c{names.index('length')}", found.columns[:-1]
+    full, short = found.where(F.col(length) >= capacity), found.where(F.col(length) < capacity)
     blocks = max(1, -(-short.count() // block_pieces))
-    columns = [c for c in found.columns if c != "_row"]
 
     def one_block(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_row", ignore_index=True)
-        sequence, offset = sum_of_squares(rows["length"].to_numpy(), capacity)
-        return rows.assign(sequence_id=(rows["_block"].to_numpy() << 32) + sequence, offset=offset)[[*columns, "sequence_id", "offset"]]
+        rows = rows.sort_values("row", ignore_index=True)
+        sequence, offset = sum_of_squares(rows[length].to_numpy(), capacity)
+        return rows.assign(sequence_id=(rows["block"].to_numpy() << 32) + sequence, offset=offset)[[*columns, "sequence_id", "offset"]]
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in found.select(columns).dtypes) + ", sequence_id long, offset long"
+    schema = ", ".join(f"{n} {t}" for n, t in found.select(columns).dtypes) + ", sequence_id long, offset long"
     # By place, not by key: copies of one document spread over the blocks like all others.
-    dealt = short.withColumn("_block", F.pmod(F.col("_row"), F.lit(blocks)))
-    own = full.select(*columns, (-1 - F.col("_row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return own.unionByName(dealt.groupBy("_block").applyInPandas(one_block, schema))
+    dealt = short.withColumn("block", F.pmod(F.col("row"), F.lit(blocks)))
+    own = full.select(*columns, (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return own.unionByName(dealt.groupBy("block").applyInPandas(one_block, schema)).toDF(*names, "sequence_id", "offset")
 
 
 def op9_best_fit_packing(spark, sf_dir: str) -> DataFrame:

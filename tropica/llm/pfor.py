@@ -34,57 +34,76 @@ END_ID = 2
 MANIFEST = "shard long, path string, docs long, ids long"
 
 
-def best_width(lengths: np.ndarray) -> int:
-    """The width with the fewest bytes: packed values at that width, 6 bytes for each wider one."""
-    counts = np.bincount(lengths, minlength=33)
-    wider = len(lengths) - np.cumsum(counts)
-    return int(np.argmin(np.arange(33) * BLOCK / 8 + 6 * wider[:33]))
+def best_widths(lengths: np.ndarray) -> np.ndarray:
+    """For each row of bit lengths the width with the fewest bytes: packed values at that width, 6 bytes for each wider one."""
+    n = len(lengths)
+    counts = np.bincount((lengths + 33 * np.arange(n)[:, None]).ravel(), minlength=33 * n).reshape(n, 33)
+    wider = lengths.shape[1] - np.cumsum(counts, axis=1)
+    return np.argmin(np.arange(33) * BLOCK / 8 + 6 * wider, axis=1)
 
 
 def pack(values: np.ndarray, width: int) -> np.ndarray:
-    """4096 values below 2**width as width * 64 words: value i * 64 + lane goes to the bit column of its lane."""
-    rows = values.astype(np.uint64).reshape(64, LANES)
-    out = np.zeros((width + 1, LANES), dtype=np.uint64)
+    """Rows of 4096 values below 2**width as width * 64 words each: value i * 64 + lane goes to the bit column of its lane."""
+    rows = values.astype(np.uint64).reshape(-1, 64, LANES)
+    out = np.zeros((len(rows), width + 1, LANES), dtype=np.uint64)
     for i in range(64):
         word, shift = divmod(i * width, 64)
-        out[word] |= rows[i] << np.uint64(shift)
+        out[:, word] |= rows[:, i] << np.uint64(shift)
         if shift + width > 64:
-            out[word + 1] |= rows[i] >> np.uint64(64 - shift)
-    return out[:width].ravel()
+            out[:, word + 1] |= rows[:, i] >> np.uint64(64 - shift)
+    return out[:, :width].reshape(len(rows), width * LANES)
 
 
 def unpack(words: np.ndarray, width: int) -> np.ndarray:
     if width == 0:
-        return np.zeros(BLOCK, dtype=np.uint32)
-    packed, mask = words.reshape(width, LANES), np.uint64((1 << width) - 1)
-    out = np.empty((64, LANES), dtype=np.uint32)
+        return np.zeros((len(words), BLOCK), dtype=np.uint32)
+    packed, mask = words.reshape(-1, width, LANES), np.uint64((1 << width) - 1)
+    out = np.empty((len(words), 64, LANES), dtype=np.uint32)
     for i in range(64):
         word, shift = divmod(i * width, 64)
-        value = packed[word] >> np.uint64(shift)
+        value = packed[:, word] >> np.uint64(shift)
         if shift + width > 64:
-            value = value | (packed[word + 1] << np.uint64(64 - shift))
-        out[i] = value & mask
-    return out.ravel()
-
-
-def encode_block(ids: np.ndarray) -> bytes:
-    low = int(ids.min())
-    gaps = np.zeros(BLOCK, dtype=np.uint32)
-    gaps[: len(ids)] = ids - np.uint32(low)
-    width = best_width(np.frexp(gaps.astype(np.float64))[1])
-    outliers = np.flatnonzero(gaps >> np.uint32(width)) if width < 32 else np.empty(0, dtype=np.int64)
-    values = gaps[outliers]
-    gaps[outliers] = 0
-    return HEAD.pack(low, width, 0, len(outliers)) + pack(gaps, width).astype("<u8").tobytes() + outliers.astype("<u2").tobytes() + values.astype("<u4").tobytes()
-
-
-def decode_block(data: bytes) -> np.ndarray:
-    """All 4096 places of a block; the last block of a file is cut to its ids by the reader."""
-    low, width, _, n = HEAD.unpack_from(data)
-    at = HEAD.size + width * LANES * 8
-    gaps = unpack(np.frombuffer(data, "<u8", width * LANES, HEAD.size), width)
-    gaps[np.frombuffer(data, "<u2", n, at)] = np.frombuffer(data, "<u4", n, at + 2 * n)
-    return gaps + np.uint32(low)
+            value = value | (packed[:, word + 1] << np.uint64(64 - shift))
+        out[:, i] = value & mask
+    return out.reshape(len(words), BLOCK)
+
+
+def encode_blocks(ids: np.ndarray) -> list[bytes]:
+    """The blocks of ids, the last one filled up; blocks of one width are packed together."""
+    n = -(-len(ids) // BLOCK)
+    full = np.full(n * BLOCK, ids[-1], dtype=np.uint32)
+    full[: len(ids)] = ids
+    gaps = full.reshape(n, BLOCK)
+    lows = gaps.min(axis=1)
+    gaps -= lows[:, None]
+    widths = best_widths(np.frexp(gaps.astype(np.float64))[1])
+    out: list[bytes] = [b""] * n
+    for width in np.unique(widths).tolist():
+        rows = np.flatnonzero(widths == width)
+        part = gaps[rows]
+        row, place = np.nonzero(part >> np.uint32(width)) if width < 32 else (np.empty(0, dtype=np.int64),) * 2
+        values, edges = part[row, place], np.searchsorted(row, np.arange(len(rows) + 1)).tolist()
+        part[row, place] = 0
+        packed = pack(part, width).astype("<u8")
+        for k, (at, a, b) in enumerate(zip(rows.tolist(), edges, edges[1:], strict=False)):
+            out[at] = HEAD.pack(lows[at], width, 0, b - a) + packed[k].tobytes() + place[a:b].astype("<u2").tobytes() + values[a:b].astype("<u4").tobytes()
+    return out
+
+
+def decode_blocks(data: bytes, starts: list[int]) -> np.ndarray:
+    """The ids of blocks that begin at starts in data, one block a row; the last block of a file is cut to its ids by the reader."""
+    heads = [HEAD.unpack_from(data, at) for at in starts]
+    widths = np.array([head[1] for head in heads])
+    out = np.empty((len(starts), BLOCK), dtype=np.uint32)
+    for width in np.unique(widths).tolist():
+        rows = np.flatnonzero(widths == width)
+        out[rows] = unpack(np.stack([np.frombuffer(data, "<u8", width * LANES, starts[k] + HEAD.size) for k in rows.tolist()]), width)
+    for row, at, (low, width, _, n) in zip(out, starts, heads, strict=True):
+        if n:
+            at += HEAD.size + width * LANES * 8
+            row[np.frombuffer(data, "<u2", n, at)] = np.frombuffer(data, "<u4", n, at + 2 * n)
+        row += np.uint32(low)
+    return out
 
 
 class Writer:
@@ -111,12 +130,11 @@ class Writer:
 
     def _flush(self, least: int) -> None:
         ids = np.frombuffer(b"".join(self.pending), "<u4")
-        at = 0
-        while len(ids) - at >= least and at < len(ids):
+        whole = len(ids) if least == 1 else len(ids) // BLOCK * BLOCK
+        for data in encode_blocks(ids[:whole]) if whole else ():
             self.starts.append(self.at)
-            self._put(encode_block(ids[at : at + BLOCK]))
-            at += BLOCK
-        rest = ids[at:].tobytes()
+            self._put(data)
+        rest = ids[whole:].tobytes()
         self.pending, self.n = [rest] * bool(rest), len(rest) // 4
 
     def close(self) -> tuple[int, int]:
@@ -147,46 +165,50 @@ class Reader:
         self.starts = np.frombuffer(data, "<u8", blocks + 1, 17 * self.docs).astype(np.int64)
         self.ends = np.cumsum(self.counts)
 
-    def block(self, k: int) -> np.ndarray:
-        self.source.seek(int(self.starts[k]))
-        return decode_block(self.source.read(int(self.starts[k + 1] - self.starts[k])))[: self.ids - k * BLOCK]
+    def blocks(self, first: int, end: int) -> np.ndarray:
+        """The ids of the blocks first to end - 1."""
+        at = int(self.starts[first])
+        self.source.seek(at)
+        data = self.source.read(int(self.starts[end]) - at)
+        return decode_blocks(data, (self.starts[first:end] - at).tolist()).ravel()[: self.ids - first * BLOCK]
 
     def range(self, start: int, end: int) -> np.ndarray:
         """The ids at places start to end, from their own blocks alone."""
         if start >= end:
             return np.empty(0, dtype=np.uint32)
         first = start // BLOCK
-        found = np.concatenate([self.block(k) for k in range(first, (end - 1) // BLOCK + 1)])
-        return found[start - first * BLOCK : end - first * BLOCK]
-
-    def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
-        """doc_id, start in this file and ids of each document, each block read once."""
-        held, first, blocks = np.empty(0, dtype=np.uint32), 0, 0
-        for valid, doc_id, count, end in zip(self.valid, self.doc_ids, self.counts, self.ends, strict=True):
-            start = int(end - count)
-            parts = [held[start - first :]]
-            size = len(parts[0])
-            while size < count:
-                parts.append(self.block(blocks))
-                size += len(parts[-1])
-                blocks += 1
-            held, first = np.concatenate(parts) if len(parts) > 1 else parts[0], start
-            yield int(doc_id) if valid else None, start, held[: int(count)]
+        return self.blocks(first, (end - 1) // BLOCK + 1)[start - first * BLOCK : end - first * BLOCK]
+
+    def documents(self, together: int = 32) -> Iterator[tuple[int | None, int, np.ndarray]]:
+        """doc_id, start in this file and ids of each document; each block is read once, several at a time."""
+        held, first, done, n = np.empty(0, dtype=np.uint32), 0, 0, len(self.starts) - 1
+        for valid, doc_id, count, end in zip(self.valid.tolist(), self.doc_ids.tolist(), self.counts.tolist(), self.ends.tolist(), strict=True):
+            start = end - count
+            if first + len(held) < end:
+                parts, first = [held[start - first :]], start
+                while sum(map(len, parts)) < count:
+                    upto = min(n, done + together)
+                    parts.append(self.blocks(done, upto))
+                    done = upto
+                held = np.concatenate(parts)
+            yield doc_id if valid else None, start, held[start - first : end - first]
 
 
 def write_ids(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: int = END_ID, files: int | None = None) -> DataFrame:
     """Encodes docs(doc_id, text) into token-id files below folder and returns their manifest (shard, path, docs, ids).
 
     Documents are dealt to files by ranges of doc_id and sorted in each, so files in shard order hold ascending
-    doc_id; equal doc_id are ordered by text, null doc_id come first, null texts are empty (the end id alone), an
-    empty table gives no files. A file is written under a name of its own attempt and listed only when its task has
-    ended, so repeated tasks leave no doubt which file counts."""
+    doc_id; equal doc_id are ordered by a hash of their texts, so that an id (or null) of many rows spreads over files
+    too. Null doc_id come first, null texts are empty (the end id alone), an empty table gives no files; further columns
+    are not read. A file is written under a name of its own attempt and listed only when its task has ended, so repeated
+    tasks leave no doubt which file counts."""
     vocabulary = vocabulary or default_vocabulary()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty())
-    docs = docs.repartitionByRange(files, "doc_id") if files else docs.repartitionByRange("doc_id")
+    docs = docs.withColumn("h", F.xxhash64("text"))
+    docs = docs.repartitionByRange(files, "doc_id", "h") if files else docs.repartitionByRange("doc_id", "h")
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, encode, tail = TaskContext.get(), memo(vocabulary).encode, struct.pack("<I", end_id)
+        task, encode, tail = TaskContext.get(), memo(vocabulary).encode_all, struct.pack("<I", end_id)
         writer = sink = None
         path = f"{folder}/ids-{task.partitionId():06d}-{task.taskAttemptId()}.pfor"
         for batch in batches:
@@ -194,14 +216,14 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str | None = None, end_i
                 store, inner = open_fs(path)
                 store.create_dir(inner.rpartition("/")[0], recursive=True)
                 writer = Writer(sink := store.open_output_stream(inner))
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                writer.add(doc_id.as_py(), encode(text.as_py()) + tail)
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
+                writer.add(doc_id, ids + tail)
         if writer:
             n, ids = writer.close()
             sink.close()
             yield pa.RecordBatch.from_pydict({"shard": [task.partitionId()], "path": [path], "docs": [n], "ids": [ids]})
 
-    return written(docs.sortWithinPartitions("doc_id", "text").mapInArrow(write, MANIFEST), "manifest")
+    return written(docs.sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text").mapInArrow(write, MANIFEST), "manifest")
 
 
 def read_ids(manifest: DataFrame) -> DataFrame:
@@ -218,7 +240,7 @@ def read_ids(manifest: DataFrame) -> DataFrame:
                 rows: list[tuple] = []
                 with store.open_input_file(inner) as source:
                     for doc_id, start, ids in Reader(source).documents():
-                        rows.append((doc_id, base + start, len(ids), zlib.crc32(np.ascontiguousarray(ids, dtype="<u4").tobytes())))
+                        rows.append((doc_id, base + start, len(ids), zlib.crc32(ids.astype("<u4", copy=False))))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 

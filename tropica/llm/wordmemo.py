@@ -1,24 +1,26 @@
-"""Byte-level BPE over whole texts, remembered per distinct word.
+"""Byte-level BPE over whole texts by the tokenizers library, its results remembered per distinct word.
 
-The pattern starts a new pre-token at every space that has a non-space character after it or before it, so encoding is
-a concatenation over the pieces cut there. Texts where that does not hold (runs of white space around a space, special
-strings) go to the tokenizers library whole. New words are encoded by tiktoken over the same file's merges, which a
-worker first holds against the library; results always equal the library's.
+The pattern starts a new pre-token at every single space or line end between other characters, so encoding is a
+concatenation over the pieces cut there. Words that a worker has not met go to the library many at once, joined; the
+tokens that begin with a space or line end tell where each word's ids begin. Texts where cutting does not hold (runs of
+white space, special strings) go to the library whole. Every id comes from the library.
 """
 
 from __future__ import annotations
 
 import os
 import re
-import struct
+from collections.abc import Iterator
 from functools import lru_cache
 
-#: A space with white space (or an end) on both sides: cutting there would change the pre-tokens.
-_UNSAFE = re.compile(r"\s (?:\s|\Z)|<\|")
+import numpy as np
+
+#: Runs of white space and white space at an end: cutting there would change the pre-tokens.
+_UNSAFE = re.compile(r"\A\s|\s(?:\s|\Z)|<\|")
 #: Words remembered in each of two generations; the older one is dropped when the younger is full.
 MEMO_WORDS = 250_000
-#: Up to here Python's and the library's character classes agree; words with later characters go to the library whole.
-_PLAIN = "ɏ"
+#: Characters of text that are encoded together.
+GROUP_CHARS = 50_000
 
 
 def default_vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -46,69 +48,76 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-def _twin(path: str):
-    """The same vocabulary as merge ranks for tiktoken, which encodes a single word several times as fast, or None
-    where ids are not in the order of the merges (then the two would differ)."""
-    import json
-
-    import public_tokenizers
-    import tiktoken
-
-    with open(path, encoding="utf-8") as file:
-        model = json.load(file)["model"]
-    vocabulary, back = model["vocab"], {c: b for b, c in byte_letters().items()}
-    for k, merge in enumerate(model["merges"]):
-        if vocabulary.get("".join(merge.split(" ") if isinstance(merge, str) else merge)) != 256 + k:
-            return None
-    ranks = {bytes(back[c] for c in t): i for t, i in vocabulary.items() if i < 256 + len(model["merges"])}
-    return tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-
-
-#: Words that both libraries encode before the faster one is trusted in a worker.
-CROSS_CHECKED = 500
+class WordMemo:
+    """Words with the space or line end before them -> their ids, as little-endian uint32 bytes.
 
-
-class WordMemo(dict):
-    """word -> the ids of " " + word, as little-endian uint32 bytes."""
+    Words after a space are kept without it, words after a line end with it."""
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
-        self.twin = _twin(path)
-        self.unchecked = CROSS_CHECKED
+        self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def alone(self, text: str) -> bytes:
-        if not self.twin or not text.isascii() and max(text) > _PLAIN:
-            return self.whole(text)
-        ids = self.twin(text)
-        found = struct.pack(f"<{len(ids)}I", *ids)
-        if self.unchecked:
-            self.unchecked -= 1
-            if found != self.whole(text):
-                self.twin, found = None, self.whole(text)
-                self.clear()
-        return found
-
-    def __missing__(self, word: str) -> bytes:
-        found = self.older.get(word)
-        if found is None:
-            found = self.alone(" " + word)
-        if len(self) >= MEMO_WORDS:
-            self.older = dict(self)
-            self.clear()
-        self[word] = found
-        return found
-
-    def encode(self, text: str) -> bytes:
-        """The ids of a whole text, as bytes of little-endian uint32."""
-        if _UNSAFE.search(text):
-            return self.whole(text)
-        first, *words = text.split(" ")
-        return self.alone(first) + b"".join(map(self.__getitem__, words))
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins = {}
+        for mark in " \n":
+            self.begins[mark] = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+            self.begins[mark][[i for token, i in vocabulary.items() if token.startswith(byte_letters()[ord(mark)])]] = True
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        """The library's ids of whole texts."""
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+
+    def learn(self, words: list[str], mark: str) -> dict[str, bytes]:
+        """Has the library encode words that follow a space or a line end, all at once, and remembers each."""
+        if not words:
+            return {}
+        text = " " + " ".join(words) if mark == " " else "".join(words)
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+        edges = np.append(np.flatnonzero(self.begins[mark][ids]), len(ids)) * 4
+        if len(edges) == len(words) + 1 and not edges[0]:
+            data, edges = ids.tobytes(), edges.tolist()
+            found = [data[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+        else:  # white space of another kind inside a word
+            found = self.whole([" " + word if mark == " " else word for word in words])
+        new = dict(zip(words, found, strict=True))
+        self.words.update(new)
+        return new
+
+    def encode_some(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes | None] = [None] * len(texts)
+        apart = [i for i, text in enumerate(texts) if not text or _UNSAFE.search(text)]
+        for i, ids in zip(apart, self.whole([texts[i] for i in apart]), strict=True):
+            out[i] = ids
+        kept = [i for i, ids in enumerate(out) if ids is None]
+        split = [texts[i].replace("\n", " \n").split(" ") for i in kept]
+        firsts = self.whole([words.pop(0) for words in split])
+        if len(self.words) > MEMO_WORDS:
+            self.older, self.words = self.words, {}
+        get, older = self.words.get, self.older
+        found = [list(map(get, words)) for words in split]
+        unmet = {word for words, row in zip(split, found, strict=True) for word, ids in zip(words, row, strict=True) if ids is None}
+        known = {word: older[word] for word in unmet if word in older}
+        self.words.update(known)
+        unmet.difference_update(known)
+        lines = [word for word in unmet if word[0] == "\n"]
+        unmet.difference_update(lines)
+        new = known | self.learn(list(unmet), " ") | self.learn(lines, "\n")
+        for i, first, words, row in zip(kept, firsts, split, found, strict=True):
+            out[i] = first + b"".join([new[word] if ids is None else ids for word, ids in zip(words, row, strict=True)])
+        return out
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of whole texts in order, as bytes of little-endian uint32."""
+        some, size = [], 0
+        for text in texts:
+            some.append(text)
+            size += len(text)
+            if size > GROUP_CHARS:
+                yield from self.encode_some(some)
+                some, size = [], 0
+        if some:
+            yield from self.encode_some(some)
 
 
 @lru_cache(maxsize=2)
