@@ -5,6 +5,8 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from tropica.llm import substrings
 
 
@@ -56,3 +58,51 @@ def test_repeated_rows_digest_and_empty_table(spark):
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
     assert found == [(1, 40, sha(""))] * 2 + [(2, 0, sha("short"))] * 2
     assert substrings.remove_repeats(frame.limit(0)).count() == 0
+
+
+def thue_morse(a: str, b: str, doublings: int) -> str:
+    for _ in range(doublings):
+        a, b = a + b, b + a
+    return a
+
+
+def test_patterned_words_do_not_collide(spark):
+    """Words that polynomial hashes modulo powers of two cannot tell apart."""
+    words = [thue_morse(a, b, n) for n in (7, 10, 12) for a, b in ("ab", "ba")]
+    hashes, sizes = substrings.word_hashes([" ".join(words).encode(), b"", b"a b"])
+    assert len(set(hashes[: len(words)].tolist())) == len(words) and sizes.tolist() == [len(words), 0, 2]
+    rest = " ".join(f"w{i}" for i in range(34))
+    frame = spark.createDataFrame([(1, f"{words[2]} {rest}"), (2, f"{words[3]} {rest}")], "doc_id long, text string")
+    assert [r["n_removed"] for r in substrings.remove_repeats(frame).collect()] == [0, 0]
+
+
+def test_hashes_depend_on_words_alone():
+    draw = random.Random(2)
+    words = ["".join(draw.choices("abcdefgh", k=draw.randint(1, 40))).encode() for _ in range(300)]
+    alone = [int(substrings.word_hashes([w])[0][0]) for w in words]
+    assert substrings.word_hashes([b" ".join(words[:100]), b"\t\n" + b"\x0b ".join(words[100:])])[0].tolist() == alone
+    hashes = substrings.word_hashes([b" ".join(words)])[0]
+    for size in (1, 2, 5, 8, 35):
+        found = substrings.runs(hashes, size)
+        assert len(found) == 301 - size and found[17] == substrings.runs(hashes[17 : 17 + size], size)[0]
+
+
+def test_thousands_of_equal_rows(spark):
+    text = " ".join(f"w{i}" for i in range(500))
+    rows = spark.range(5000).select("id", F.lit(text).alias("text"))
+    for frame in (rows.withColumnRenamed("id", "doc_id"), rows.select(F.lit(None).cast("long").alias("doc_id"), "text")):
+        found = substrings.remove_repeats(frame.unionByName(spark.createDataFrame([(9999, text + " end")], "doc_id long, text string")))
+        assert {(r["n_words"], r["n_removed"]): r["count"] for r in found.groupBy("n_words", "n_removed").count().collect()} == {(500, 500): 5000, (501, 500): 1}
+
+
+def test_nonbranching_fragments_become_one_path(spark):
+    """A passage that two texts share whole is one path, cut where a third text shares a part of it only."""
+    a, b, c = ([f"{x}{i}" for i in range(300)] for x in "abc")
+    rows = [(1, " ".join(a + b)), (2, " ".join(b + c))]
+    for extra, least in ([], 1), ([(3, " ".join(b[100:200]))], 2):
+        keyed = substrings.keyed_rows(spark.createDataFrame(rows + extra, "doc_id long, text string"))
+        found = substrings.find_fragments(keyed, 35, 8)
+        twice = found.groupBy("mh", "ch").count().where("count > 1").select("mh", "ch")
+        paths = {r["k2"]: substrings.joined_paths([f.asDict() for f in r["whole"]]) for r in substrings.compacted(found.join(twice, ["mh", "ch"])).collect()}
+        assert len(paths[1]) >= least and [p[1:] for p in paths[1]] == [p[1:] for p in paths[2]]
+        assert len(paths[1]) < len(twice.collect()) and (extra or len(paths[1]) == 1)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tropica.llm.common import text_or_empty, written
-from tropica.llm.substrings import _SPAN, _WORD, _groups, _signed, mix, spans_hash, word_hashes
+from tropica.llm.substrings import _groups, _signed, mix, pair, runs, word_hashes
 from tropica.operators.components import components
 
 SHINGLE, THRESHOLD = 5, 80
@@ -34,12 +34,15 @@ _FACTORS = _DRAWS.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint6
 _SALTS = _DRAWS.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 
 
-def shingle_set(words: np.ndarray, size: int) -> np.ndarray:
-    """The distinct shingles of a document as sorted hashes; fewer words than a shingle make one of them all."""
-    if not len(words):
-        return np.empty(0, dtype=np.uint64)
-    size = min(size, len(words))
-    return np.unique(spans_hash(words, np.arange(len(words) - size + 1), size, _WORD))
+def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
+    """The distinct shingles of each text as sorted hashes; fewer words than a shingle make one of them all."""
+    words, sizes = word_hashes([t.translate(_LOWER) for t in texts])
+    shingles, at, out = runs(words, size), 0, []
+    for n in sizes.tolist():
+        whole = shingles[at : at + n - size + 1] if n >= size else runs(words[at : at + n], n) if n else words[:0]
+        out.append(np.unique(whole))
+        at += n
+    return out
 
 
 def samples(shingles: np.ndarray) -> np.ndarray:
@@ -70,9 +73,9 @@ def signatures(keyed: DataFrame, size: int) -> DataFrame:
         salts = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
         for batch in batches:
             for at, texts in _groups(batch, 3):
-                sets = [shingle_set(w, size) for w in word_hashes([t.translate(_LOWER) for t in texts])]
+                sets = shingle_sets(texts, size)
                 found = [samples(s) if len(s) else None for s in sets]
-                bands = [None if f is None else spans_hash(f, np.arange(0, len(f), ROWS), ROWS, _SPAN) ^ salts for f in found]
+                bands = [None if f is None else reduce(pair, f.reshape(BANDS, ROWS).T) ^ salts for f in found]
                 sketches = [None if f is None else odd_sketch(f) for f in found]
                 parities = [odd_sketch(s, PARITY_BITS) for s in sets]
                 of_class = [(int(mix(s).sum()), int(mix(s ^ _SALTS[0]).sum())) if len(s) else (0, 0) for s in sets]
@@ -97,7 +100,7 @@ def _fetch(ids: DataFrame, classes: DataFrame, keyed: DataFrame, size: int) -> D
     def fetch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, texts in _groups(batch, 1):
-                sets = [shingle_set(w, size).view(np.int64) for w in word_hashes([t.translate(_LOWER) for t in texts])]
+                sets = [s.view(np.int64) for s in shingle_sets(texts, size)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[start : start + len(texts)], pa.array(sets, pa.list_(pa.int64()))], names=["c1", "shingles"])
 
     return written(keyed.join(at, ["k1", "k2"]).dropDuplicates(["c1"]).select("c1", "text").mapInArrow(fetch, "c1 long, shingles array<long>"), "sets")

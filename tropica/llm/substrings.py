@@ -1,14 +1,19 @@
 """Removal of repeated passages by compaction of the word graph.
 
 Every window of 35 words is an edge of a De Bruijn graph. Consecutive windows that share their least k-mer form one
-fragment, a nonbranching path; equal windows always lie in fragments with the same least k-mer, so
+fragment; equal windows always lie in fragments with the same least k-mer, so
 
 1. fragments whose least k-mer is unique drop out after one count of hashes;
-2. equal fragments are compacted by a join into one path with all its source coordinates: all their windows repeat;
-3. where different fragments share the least k-mer (at the ends of a repeated passage), one copy of each path is opened
-   and its windows are compared one by one at their source coordinates.
-
-Hashes are 64 bits of the least k-mer together with 64 independent bits of the content.
+2. fragments of equal content repeat with all their windows. They are the nodes of a graph in which each is followed by
+   the next repeated fragment of its text; where a node has one successor and that one no other predecessor, a join
+   compacts the two, so that nonbranching runs become paths with all their source coordinates;
+3. the words at the coordinates of each path are compared by a cryptographic digest; should two sources differ, all is
+   done again with other hashes;
+4. where different fragments share the least k-mer (at the ends of a repeated passage), one copy of each is opened and
+   its windows are compared one by one.
+
+The least k-mer and the content are 64 bits each from two word hashes of their own. No hash is linear in the bytes or
+words, so patterns in them (as in Thue-Morse words) do not collide.
 """
 
 from __future__ import annotations
@@ -19,16 +24,18 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tropica.llm.common import text_or_empty, written
+from tropica.llm.common import released, text_or_empty, written
 
 WINDOW, KMER = 35, 8
-GROUP_BYTES = 2_000_000
-_BYTE, _WORD, _SPAN = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
+#: Bytes of text that a worker holds in arrays at once (more where one text alone is longer).
+GROUP_BYTES = 256_000
 _SPACES = np.zeros(256, dtype=bool)
 _SPACES[[32, *range(9, 14)]] = True
+_FIRST, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_HEADS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)  # the first k bytes of eight
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -37,60 +44,69 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class Powers:
-    """base**i and its inverse modulo 2**64, as far as they were asked for."""
-
-    def __init__(self, base: np.uint64):
-        self.base, self.inverse_base = base, np.uint64(pow(int(base), -1, 1 << 64))
-        self.up = self.down = np.ones(1, dtype=np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(self.up):
-            n = max(n, 2 * len(self.up), 4096)
-            self.up = np.concatenate([[np.uint64(1)], np.full(n - 1, self.base)]).cumprod(dtype=np.uint64)
-            self.down = np.concatenate([[np.uint64(1)], np.full(n - 1, self.inverse_base)]).cumprod(dtype=np.uint64)
-        return self.up, self.down
+def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two hashes in order."""
+    x = a * _FIRST + b
+    x = (x ^ (x >> np.uint64(29))) * _SECOND
+    return x ^ (x >> np.uint64(32))
 
 
-_POWERS = {base: Powers(base) for base in (_BYTE, _WORD, _SPAN)}
+def word_hashes(texts: list[bytes], seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """64 bits for each word of all texts in one row, and the number of words of each text.
 
-
-def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
-    """64 bits for each word of each text, vectorised over all bytes."""
-    data = np.frombuffer(b"\n".join([*texts, b""]), dtype=np.uint8)
-    inside = ~_SPACES[data]
-    starts = np.flatnonzero(inside & np.concatenate([[True], ~inside[:-1]]))
-    ends = np.flatnonzero(inside & np.concatenate([~inside[1:], [True]])) + 1
+    A word's bytes are taken eight at a time, each eight mixed with their place."""
+    data = np.frombuffer(b"\n".join([*texts, b""]) + bytes(8), dtype=np.uint8)
+    inside = ~_SPACES[data[:-8]]
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    starts, lengths = edges[::2], edges[1::2] - edges[::2]
+    bounds = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+    sizes = np.diff(bounds)
     if not len(starts):
-        return [np.empty(0, dtype=np.uint64) for _ in texts]
-    lengths = ends - starts
-    kept = data[inside].astype(np.uint64) + np.uint64(1)
-    firsts = np.cumsum(lengths) - lengths
-    place = np.arange(len(kept)) - np.repeat(firsts, lengths)
-    kept *= _POWERS[_BYTE].upto(int(lengths.max()))[0][place]
-    hashes = mix(np.add.reduceat(kept, firsts) + lengths.astype(np.uint64))
-    edges = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))
-    return np.split(hashes, edges[:-1])
-
-
-def spans_hash(words: np.ndarray, start: np.ndarray, length, base: np.uint64) -> np.ndarray:
-    """A hash of each word span, from prefix sums."""
-    up, down = _POWERS[base].upto(len(words) + 1)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(words * up[: len(words)], dtype=np.uint64)])
-    return mix((sums[start + length] - sums[start]) * down[start] + np.uint64(1) * np.asarray(length).astype(np.uint64))
-
-
-def fragments(words: np.ndarray, window: int = WINDOW, kmer: int = KMER) -> tuple[np.ndarray, ...]:
-    """First window, number of windows, least k-mer and content of each fragment of one document."""
+        return np.empty(0, dtype=np.uint64), sizes
+    eights = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
+    salt = lambda k: mix(k.astype(np.uint64) + np.uint64(1 + (seed << 32)))
+    total = mix((eights[starts] & _HEADS[np.minimum(lengths, 8)]) ^ salt(np.zeros(1)))
+    long = np.flatnonzero(lengths > 8)
+    if len(long):
+        more = (lengths[long] - 1) // 8
+        firsts = np.cumsum(more) - more
+        k = np.arange(int(more.sum())) - np.repeat(firsts, more) + 1
+        at, left = np.repeat(starts[long], more) + 8 * k, np.repeat(lengths[long], more) - 8 * k
+        total[long] += np.add.reduceat(mix((eights[at] & _HEADS[np.minimum(left, 8)]) ^ salt(k)), firsts)
+    return mix(total + lengths.astype(np.uint64) * _FIRST), sizes
+
+
+def runs(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of size consecutive words, from those of runs half as long."""
+    n = len(words) - size + 1
+    if n <= 0:
+        return np.empty(0, dtype=np.uint64)
+    out, level, width, at = None, words, 1, 0
+    while True:
+        if size & width:
+            part = level[at : at + n]
+            out, at = part if out is None else pair(out, part), at + width
+        if 2 * width > size:
+            return out
+        level, width = pair(level[:-width], level[width:]), 2 * width
+
+
+def fragments(kmer_words: np.ndarray, words: np.ndarray, sizes: np.ndarray, window: int = WINDOW, kmer: int = KMER) -> tuple[np.ndarray, ...]:
+    """Text, first window, number of windows, least k-mer and content of each fragment of several texts in one row."""
     n = len(words) - window + 1
     if n <= 0:
-        return (np.empty(0, dtype=np.int64),) * 2 + (np.empty(0, dtype=np.uint64),) * 2
-    kmers = spans_hash(words, np.arange(len(words) - kmer + 1), kmer, _WORD)
-    wide = window - kmer + 1
-    least = np.lib.stride_tricks.sliding_window_view(kmers, wide).argmin(axis=1) + np.arange(n)  # the leftmost of equals
-    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    count = np.diff(np.append(first, n))
-    return first, count, kmers[least[first]], spans_hash(words, first, count + window - 1, _SPAN)
+        return (np.empty(0, dtype=np.int64),) * 3 + (np.empty(0, dtype=np.uint64),) * 2
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.flatnonzero(text[:n] == text[window - 1 :])
+    kmers, windows = runs(kmer_words, kmer), runs(words, window)
+    least = np.lib.stride_tricks.sliding_window_view(kmers, window - kmer + 1).argmin(axis=1)[at] + at  # the leftmost of equals
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = (least[1:] != least[:-1]) | (at[1:] != at[:-1] + 1)
+    edges = np.flatnonzero(new)
+    first, count = at[edges], np.diff(np.append(edges, len(at)))
+    # At most window - kmer + 1 windows: the first and the last cover all words between.
+    content = pair(pair(windows[first], windows[first + count - 1]), count.astype(np.uint64))
+    return text[first], first - (np.cumsum(sizes) - sizes)[text[first]], count, kmers[least[edges]], content
 
 
 def _groups(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[bytes]]]:
@@ -121,19 +137,50 @@ def keyed_rows(docs: DataFrame) -> DataFrame:
     return docs.withColumns(row_keys())
 
 
-def find_fragments(keyed: DataFrame, window: int, kmer: int) -> DataFrame:
+def find_fragments(keyed: DataFrame, window: int, kmer: int, seed: int = 0) -> DataFrame:
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k1, k2 = (batch.column(i).to_numpy() for i in (0, 1))
             for at, texts in _groups(batch, 2):
-                found = [fragments(words, window, kmer) for words in word_hashes(texts)]
-                row = np.repeat(np.arange(at, at + len(texts)), [len(f[0]) for f in found])
-                first, count, least, content = (np.concatenate(x) for x in zip(*found, strict=True))
+                (first_hash, sizes), (other_hash, _) = word_hashes(texts, 2 * seed), word_hashes(texts, 2 * seed + 1)
+                row, first, count, least, content = fragments(first_hash, other_hash, sizes, window, kmer)
+                row += at
                 yield pa.RecordBatch.from_arrays([pa.array(k1[row]), pa.array(k2[row]), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int16)), _signed(least), _signed(content)], names=["k1", "k2", "p", "n", "mh", "ch"])
 
     return keyed.select("k1", "k2", "text").mapInArrow(find, "k1 long, k2 long, p int, n short, mh long, ch long")
 
 
+def compacted(repeated: DataFrame) -> DataFrame:
+    """(k1, k2, whole): the repeated fragments (k1, k2, p, n, mh, ch) of each row in order, each with tied: whether it
+    continues the nonbranching path of the one before it.
+
+    Nodes are contents, edges lead from a fragment to the next one of its row. A node is tied to its predecessor where
+    it has that one alone, everywhere, and the predecessor no other successor."""
+    node = F.struct("mh", "ch")
+    row = Window.partitionBy("k1", "k2").orderBy("p")
+    after, before = F.lead(F.struct("p", node.alias("node"))).over(row), F.lag(F.struct((F.col("p") + F.col("n")).alias("p"), node.alias("node"))).over(row)
+    placed = repeated.select("k1", "k2", "p", "n", "mh", "ch", after.alias("after"), before.alias("before"))
+    placed = placed.select("mh", "ch", F.when(F.col("after.p") == F.col("p") + F.col("n"), F.col("after.node")).alias("after"), F.when(F.col("before.p") == F.col("p"), F.col("before.node")).alias("before"))
+    # One neighbour on a side: each occurrence has one there, and the least equals the greatest.
+    one = lambda side: F.when((F.count(side) == F.count("*")) & (F.min(side) == F.max(side)), F.min(side)).alias(side)
+    nodes = written(placed.groupBy("mh", "ch").agg(one("before"), one("after")), "nodes")
+    back = nodes.where("after is not null").select(F.col("mh").alias("b_mh"), F.col("ch").alias("b_ch"), F.col("after.mh").alias("mh"), F.col("after.ch").alias("ch"))
+    tied = nodes.where("before is not null").select("mh", "ch", F.col("before.mh").alias("b_mh"), F.col("before.ch").alias("b_ch")).join(back, ["mh", "ch", "b_mh", "b_ch"]).select("mh", "ch", F.lit(True).alias("tied"))
+    marked = repeated.join(tied, ["mh", "ch"], "left").select("k1", "k2", F.struct("p", "n", "mh", "ch", F.col("tied").isNotNull().alias("tied")).alias("f"))
+    return marked.groupBy("k1", "k2").agg(F.array_sort(F.collect_list("f")).alias("whole"))  # at most one for each window of a row
+
+
+def joined_paths(spans: list[dict]) -> list[tuple[int, int, int, int]]:
+    """First window, number of windows and head (mh, ch) of the paths of a row."""
+    out: list[list[int]] = []
+    for s in spans:
+        if out and s["tied"] and out[-1][0] + out[-1][1] == s["p"]:
+            out[-1][1] += s["n"]
+        else:
+            out.append([s["p"], s["n"], s["mh"], s["ch"]])
+    return [tuple(x) for x in out]
+
+
 def covered(n_words: int, starts: np.ndarray, windows: np.ndarray, window: int) -> np.ndarray:
     """Which words some window in starts[i] ... starts[i] + windows[i] - 1 covers."""
     steps = np.zeros(n_words + 1, dtype=np.int64)
@@ -169,23 +216,26 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, dige
     Words are maximal runs without ASCII white space. A word goes if a window over it has a word sequence that also
     starts elsewhere in the input, in the same document or another; of a repeated passage no copy stays. kept holds
     the other words joined by one space, or with digest its SHA-256. Null and empty texts have no words, documents
-    shorter than a window lose none, rows that repeat (null doc_id too) are judged like any others."""
+    shorter than a window lose none, rows that repeat (null doc_id too) are judged like any others. An empty table gives
+    no rows; columns beside doc_id and text are not read."""
     return keyed_repeats(docs, window, kmer, digest).drop("k1", "k2")
 
 
-def keyed_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, digest: bool = False) -> DataFrame:
+def keyed_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, digest: bool = False, seed: int = 0) -> DataFrame:
     """What remove_repeats returns, with the keys k1 and k2 of each row."""
     keyed = keyed_rows(docs)
-    all_fragments = written(find_fragments(keyed, window, kmer), "fragments")
+    all_fragments = written(find_fragments(keyed, window, kmer, seed), "fragments")
     shared = all_fragments.groupBy("mh").agg(F.count("*").alias("c"), (F.min("ch") != F.max("ch")).alias("open")).where("c > 1").drop("c")
-    shared = written(shared, "least")  # a table of its own: the join below can then split a least k-mer that is everywhere
-    shared = written(all_fragments.join(shared, "mh"), "shared")
+    least = written(shared, "least")  # a table of its own: the join below can then split a least k-mer that is everywhere
+    shared = written(all_fragments.join(least, "mh"), "shared")
+    released(all_fragments, least)
     paths = shared.groupBy("mh", "ch").agg(F.count("*").alias("c"), F.first("open").alias("open"), F.min(F.struct("k1", "k2", "p", "n")).alias("at"))
     paths = written(paths, "paths")
-    repeated = shared.join(paths.where("c > 1").select("mh", "ch"), ["mh", "ch"])
-    repeated = repeated.groupBy("k1", "k2").agg(F.collect_list(F.struct("p", "n")).alias("whole"))  # at most one for each window of a row
+    # Rows that repeat as a whole have one key: their fragments meet once, whatever their number.
+    repeated = written(shared.join(paths.where("c > 1").select("mh", "ch"), ["mh", "ch"]).select("k1", "k2", "p", "n", "mh", "ch").distinct(), "repeated")
+    released(shared)
     opened = paths.where("open").groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct("at.p", "at.n", "mh", "c")).alias("opened"))
-    placed = keyed.join(repeated, ["k1", "k2"], "left").join(opened, ["k1", "k2"], "left")
+    placed = keyed.join(compacted(repeated), ["k1", "k2"], "left").join(opened, ["k1", "k2"], "left")
 
     def first_pass(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
@@ -194,18 +244,21 @@ def keyed_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, diges
             keys = [batch.column(i).to_numpy() for i in (4, 5)]
             for at, texts in _groups(batch, 1):
                 needs = [opened[at + i].is_valid for i in range(len(texts))]
-                hashes = iter(word_hashes([t for t, need in zip(texts, needs, strict=True) if need]))
+                hashes, sizes = word_hashes([t for t, need in zip(texts, needs, strict=True) if need], 2 * seed + 1)
+                hashes = iter(np.split(hashes, np.cumsum(sizes)[:-1]))
                 for i, text in enumerate(texts, at):
                     words = text.split()
-                    spans = whole[i].as_py() or []
-                    p, n = (np.array([s[k] for s in spans], dtype=np.int64) for k in ("p", "n"))
+                    spans = joined_paths(whole[i].as_py() or [])
+                    p, n = (np.array([s[k] for s in spans], dtype=np.int64) for k in (0, 1))
+                    sums = [hashlib.blake2b(b" ".join(words[s[0] : s[0] + s[1] + window - 1]), digest_size=16).digest() for s in spans]
                     row = {"k1": int(keys[0][i]), "k2": int(keys[1][i]), "done": None, "text": None, "p": None, "n": None, "probe": None, "probe_mh": None, "probe_wh": None, "known_mh": None, "known_wh": None}
+                    row["sums"] = [{"mh": s[2], "ch": s[3], "n": s[1], "digest": d} for s, d in zip(spans, sums, strict=True)] or None
                     parts: dict[str, list] = {"probe": [], "probe_mh": [], "probe_wh": [], "known_mh": [], "known_wh": []}
                     if needs[i - at]:
                         doc = next(hashes)
                         for f in opened[i].as_py():
                             at_words = np.arange(f["p"], f["p"] + f["n"])
-                            wh = spans_hash_local(doc, f["p"], f["n"], window)
+                            wh = runs(doc[f["p"] : f["p"] + f["n"] + window - 1], window)
                             kind = "probe" if f["c"] == 1 else "known"
                             parts[f"{kind}_mh"].append(np.full(f["n"], f["mh"], dtype=np.int64))
                             parts[f"{kind}_wh"].append(wh.view(np.int64))
@@ -224,12 +277,16 @@ def keyed_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, diges
         if rows:
             yield pa.RecordBatch.from_pylist(rows, FIRST)
 
-    first = placed.select("doc_id", "text", "whole", "opened", "k1", "k2").mapInArrow(first_pass, f"k1 long, k2 long, done struct<{OUT.replace(' long', ':long').replace(' string', ':string').replace('removed array', 'removed:array')}>, text binary, p array<int>, n array<int>, probe array<int>, probe_mh array<long>, probe_wh array<long>, known_mh array<long>, known_wh array<long>")
+    first = placed.select("doc_id", "text", "whole", "opened", "k1", "k2").mapInArrow(first_pass, f"k1 long, k2 long, done struct<{OUT.replace(' long', ':long').replace(' string', ':string').replace('removed array', 'removed:array')}>, text binary, p array<int>, n array<int>, probe array<int>, probe_mh array<long>, probe_wh array<long>, known_mh array<long>, known_wh array<long>, sums array<struct<mh:long,ch:long,n:int,digest:binary>>")
     first = written(first, "opened")
+    released(repeated, paths)
+    sums = first.select(F.explode("sums").alias("s")).groupBy("s.mh", "s.ch", "s.n").agg((F.min("s.digest") != F.max("s.digest")).alias("differ"))
+    if not sums.where("differ").isEmpty():  # equal hashes of different words
+        return keyed_repeats(docs, window, kmer, digest, seed + 1)
     probes = first.where("probe is not null").select("k1", "k2", F.explode(F.arrays_zip("probe", "probe_mh", "probe_wh")).alias("w")).select("k1", "k2", F.col("w.probe").alias("p"), F.col("w.probe_mh").alias("mh"), F.col("w.probe_wh").alias("wh"))
     known = first.where("known_wh is not null").select(F.explode(F.arrays_zip("known_mh", "known_wh")).alias("w")).select(F.col("w.known_mh").alias("mh"), F.col("w.known_wh").alias("wh"), F.lit(2).alias("c"))
     twice = probes.select("mh", "wh", F.lit(1).alias("c")).unionByName(known).groupBy("mh", "wh").agg(F.sum("c").alias("c")).where("c > 1")
-    found = probes.join(twice, ["mh", "wh"], "left_semi").groupBy("k1", "k2").agg(F.collect_list("p").alias("found"))
+    found = probes.join(twice, ["mh", "wh"], "left_semi").groupBy("k1", "k2").agg(F.collect_set("p").alias("found"))
     rest = first.where("probe is not null").select("done.doc_id", "text", "p", "n", "k1", "k2").join(found, ["k1", "k2"], "left")
 
     def second_pass(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,12 +304,8 @@ def keyed_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, diges
     return first.where("probe is null").select("done.*", "k1", "k2").unionByName(rest)
 
 
-FIRST = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("done", _OUT), ("text", pa.binary()), ("p", pa.list_(pa.int32())), ("n", pa.list_(pa.int32())), ("probe", pa.list_(pa.int32())), *((c, pa.list_(pa.int64())) for c in ("probe_mh", "probe_wh", "known_mh", "known_wh"))])
-
-
-def spans_hash_local(words: np.ndarray, start: int, count: int, window: int) -> np.ndarray:
-    """Hashes of count windows from start on, from the words they cover alone."""
-    return spans_hash(words[start : start + count + window - 1], np.arange(count), window, _SPAN)
+_SUMS = pa.list_(pa.struct([("mh", pa.int64()), ("ch", pa.int64()), ("n", pa.int32()), ("digest", pa.binary())]))
+FIRST = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("done", _OUT), ("text", pa.binary()), ("p", pa.list_(pa.int32())), ("n", pa.list_(pa.int32())), ("probe", pa.list_(pa.int32())), *((c, pa.list_(pa.int64())) for c in ("probe_mh", "probe_wh", "known_mh", "known_wh")), ("sums", _SUMS)])
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:
