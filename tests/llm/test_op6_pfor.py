@@ -42,7 +42,7 @@ def test_file_round_trip_and_ranges():
     docs = [(i, draw.integers(0, 50_000, n, dtype=np.uint32)) for i, n in enumerate((1, 0, 4095, 1, 4096, 70_000, 3))]
     writer = pfor.Writer(sink)
     for i, ids in docs:
-        writer.add(None if i == 1 else i, ids.astype("<u4").tobytes())
+        writer.add(None if i == 1 else i, ids[:3], ids[3:])
     writer.close()
     reader, everything = pfor.Reader(Source(sink.getvalue())), np.concatenate([d for _, d in docs])
     assert [(i, n.tolist()) for i, _, n in reader.documents()] == [(None if i == 1 else i, d.tolist()) for i, d in docs]
@@ -55,7 +55,19 @@ def test_file_round_trip_and_ranges():
 @settings(max_examples=150, deadline=None)
 @given(st.text(st.sampled_from("aé漢'1 \n\t<|>s ."), max_size=30))
 def test_encoding_equals_the_library(text):
-    assert list(memo(default_vocabulary()).encode_all([text, "x", text])) == [np.array(load(default_vocabulary()).encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in (text, "x", text)]
+    found = [ids.tolist() for ids in memo(default_vocabulary()).encode_all([text, "x", text])]
+    assert found == [load(default_vocabulary()).encode(t, add_special_tokens=False).ids for t in (text, "x", text)]
+
+
+def test_a_full_memo_forgets_and_learns_again(monkeypatch):
+    from tropica.llm import wordmemo
+
+    monkeypatch.setattr(wordmemo, "MEMO_WORDS", 50)
+    words, draw = wordmemo.WordMemo(default_vocabulary()), np.random.default_rng(1)
+    for _ in range(20):
+        texts = ["".join(f"w{i}{draw.choice(list(' \n\t'))}" for i in draw.integers(0, 200, 30)) + "end" for _ in range(3)]
+        assert [ids.tolist() for ids in words.encode_some(texts)] == [load(default_vocabulary()).encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(words.keys) < 200 and len(words.pool) == words.n.sum()
 
 
 def test_query_against_the_library(spark, tmp_path):

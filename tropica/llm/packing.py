@@ -7,7 +7,6 @@ the loss is a few in tens of thousands, and no task or driver ever holds all len
 
 from __future__ import annotations
 
-import struct
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -67,13 +66,13 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID,
     vocabulary = vocabulary or default_vocabulary()
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = struct.pack("<I", end_id)
+        tail = np.array([end_id], dtype="<u4")
         ids_of = memo(vocabulary).encode_all
         for batch in batches:
             rows = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), ids_of(batch.column(1).to_pylist()), strict=True):
-                ids = memoryview(ids + tail)
-                rows += [(doc_id, k, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)])) for k, (start, n) in enumerate(cut(len(ids) // 4, capacity))]
+                ids = np.concatenate([ids, tail])
+                rows += [(doc_id, k, start, n, zlib.crc32(ids[start : start + n])) for k, (start, n) in enumerate(cut(len(ids), capacity))]
             columns = zip(*rows, strict=True) if rows else [[]] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])

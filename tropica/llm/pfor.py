@@ -120,22 +120,23 @@ class Writer:
         self.sink.write(data)
         self.at += len(data)
 
-    def add(self, doc_id: int | None, ids: bytes) -> None:
+    def add(self, doc_id: int | None, *ids: np.ndarray) -> None:
+        """A document, its ids in one or more parts."""
         self.doc_ids.append(doc_id)
-        self.counts.append(len(ids) // 4)
-        self.pending.append(ids)
-        self.n += len(ids) // 4
+        self.counts.append(sum(map(len, ids)))
+        self.pending += ids
+        self.n += self.counts[-1]
         if self.n >= 16 * BLOCK:
             self._flush(BLOCK)
 
     def _flush(self, least: int) -> None:
-        ids = np.frombuffer(b"".join(self.pending), "<u4")
+        ids = np.concatenate(self.pending) if self.pending else np.empty(0, dtype=np.uint32)
         whole = len(ids) if least == 1 else len(ids) // BLOCK * BLOCK
         for data in encode_blocks(ids[:whole]) if whole else ():
             self.starts.append(self.at)
             self._put(data)
-        rest = ids[whole:].tobytes()
-        self.pending, self.n = [rest] * bool(rest), len(rest) // 4
+        rest = ids[whole:].copy()
+        self.pending, self.n = [rest] * bool(len(rest)), len(rest)
 
     def close(self) -> tuple[int, int]:
         """Documents and ids written."""
@@ -208,7 +209,7 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str | None = None, end_i
     docs = docs.repartitionByRange(files, "doc_id", "h") if files else docs.repartitionByRange("doc_id", "h")
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, encode, tail = TaskContext.get(), memo(vocabulary).encode_all, struct.pack("<I", end_id)
+        task, encode, tail = TaskContext.get(), memo(vocabulary).encode_all, np.array([end_id], dtype="<u4")
         writer = sink = None
         path = f"{folder}/ids-{task.partitionId():06d}-{task.taskAttemptId()}.pfor"
         for batch in batches:
@@ -217,7 +218,7 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str | None = None, end_i
                 store.create_dir(inner.rpartition("/")[0], recursive=True)
                 writer = Writer(sink := store.open_output_stream(inner))
             for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
-                writer.add(doc_id, ids + tail)
+                writer.add(doc_id, ids, tail)
         if writer:
             n, ids = writer.close()
             sink.close()

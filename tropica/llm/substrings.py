@@ -51,29 +51,36 @@ def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+class Words:
+    """The words of bytes that end in eight zeros: where they start, how long they are, their first eight bytes and hashes."""
+
+    def __init__(self, data: bytes):
+        self.data = np.frombuffer(data, dtype=np.uint8)
+        inside = ~_SPACES[self.data[:-8]]
+        edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+        self.starts, self.lengths = edges[::2], edges[1::2] - edges[::2]
+        self.eights = np.ndarray((len(self.data) - 7,), dtype="<u8", buffer=self.data, strides=(1,))
+        self.heads = self.eights[self.starts] & _HEADS[np.minimum(self.lengths, 8)]
+
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """64 bits for each word: its bytes are taken eight at a time, each eight mixed with their place."""
+        salt = lambda k: mix(k.astype(np.uint64) + np.uint64(1 + (seed << 32)))
+        total = mix(self.heads ^ salt(np.zeros(1)))
+        long = np.flatnonzero(self.lengths > 8)
+        if len(long):
+            more = (self.lengths[long] - 1) // 8
+            firsts = np.cumsum(more) - more
+            k = np.arange(int(more.sum())) - np.repeat(firsts, more) + 1
+            at, left = np.repeat(self.starts[long], more) + 8 * k, np.repeat(self.lengths[long], more) - 8 * k
+            total[long] += np.add.reduceat(mix((self.eights[at] & _HEADS[np.minimum(left, 8)]) ^ salt(k)), firsts)
+        return mix(total + self.lengths.astype(np.uint64) * _FIRST)
+
+
 def word_hashes(texts: list[bytes], seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """64 bits for each word of all texts in one row, and the number of words of each text.
-
-    A word's bytes are taken eight at a time, each eight mixed with their place."""
-    data = np.frombuffer(b"\n".join([*texts, b""]) + bytes(8), dtype=np.uint8)
-    inside = ~_SPACES[data[:-8]]
-    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
-    starts, lengths = edges[::2], edges[1::2] - edges[::2]
-    bounds = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
-    sizes = np.diff(bounds)
-    if not len(starts):
-        return np.empty(0, dtype=np.uint64), sizes
-    eights = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
-    salt = lambda k: mix(k.astype(np.uint64) + np.uint64(1 + (seed << 32)))
-    total = mix((eights[starts] & _HEADS[np.minimum(lengths, 8)]) ^ salt(np.zeros(1)))
-    long = np.flatnonzero(lengths > 8)
-    if len(long):
-        more = (lengths[long] - 1) // 8
-        firsts = np.cumsum(more) - more
-        k = np.arange(int(more.sum())) - np.repeat(firsts, more) + 1
-        at, left = np.repeat(starts[long], more) + 8 * k, np.repeat(lengths[long], more) - 8 * k
-        total[long] += np.add.reduceat(mix((eights[at] & _HEADS[np.minimum(left, 8)]) ^ salt(k)), firsts)
-    return mix(total + lengths.astype(np.uint64) * _FIRST), sizes
+    """64 bits for each word of all texts in one row, and the number of words of each text."""
+    words = Words(b"\n".join([*texts, b""]) + bytes(8))
+    sizes = np.diff(np.searchsorted(words.starts, np.cumsum([0, *(len(t) + 1 for t in texts)])))
+    return words.hashes(seed) if len(words.starts) else np.empty(0, dtype=np.uint64), sizes
 
 
 def runs(words: np.ndarray, size: int) -> np.ndarray:

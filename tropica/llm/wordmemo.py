@@ -1,9 +1,10 @@
 """Byte-level BPE over whole texts by the tokenizers library, its results remembered per distinct word.
 
-The pattern starts a new pre-token at every single space or line end between other characters, so encoding is a
-concatenation over the pieces cut there. Words that a worker has not met go to the library many at once, joined; the
-tokens that begin with a space or line end tell where each word's ids begin. Texts where cutting does not hold (runs of
-white space, special strings) go to the library whole. Every id comes from the library.
+The pattern starts a new pre-token at every single white space between other characters, so encoding is a concatenation
+over the pieces cut there. A memo of numpy arrays maps hashes of words (with the white space before them) to their ids.
+Words that a worker has not met go to the library many at once, joined; the tokens that begin with white space tell
+where each word's ids begin. Texts where cutting does not hold (runs of white space, special strings) go to the library
+whole. Every id comes from the library.
 """
 
 from __future__ import annotations
@@ -15,12 +16,14 @@ from functools import lru_cache
 
 import numpy as np
 
+from tropica.llm.substrings import Words, pair
+
 #: Runs of white space and white space at an end: cutting there would change the pre-tokens.
 _UNSAFE = re.compile(r"\A\s|\s(?:\s|\Z)|<\|")
-#: Words remembered in each of two generations; the older one is dropped when the younger is full.
-MEMO_WORDS = 250_000
+#: Words remembered by a worker, some 50 bytes each; beyond, the half that was met least goes.
+MEMO_WORDS = 500_000
 #: Characters of text that are encoded together.
-GROUP_CHARS = 50_000
+GROUP_CHARS = 800_000
 
 
 def default_vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -48,67 +51,87 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class WordMemo:
-    """Words with the space or line end before them -> their ids, as little-endian uint32 bytes.
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places starts[i] to starts[i] + lengths[i] - 1, one after another."""
+    return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
 
-    Words after a space are kept without it, words after a line end with it."""
+
+class WordMemo:
+    """Sorted hashes of words; with each its first eight bytes and length (which a hit must equal too) and the place and number of its ids in one pool."""
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab()
-        self.begins = {}
-        for mark in " \n":
-            self.begins[mark] = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-            self.begins[mark][[i for token, i in vocabulary.items() if token.startswith(byte_letters()[ord(mark)])]] = True
-
-    def whole(self, texts: list[str]) -> list[bytes]:
+        vocabulary, spaces = self.tokenizer.get_vocab(), tuple(byte_letters()[b] for b in b" \t\n\v\f\r")
+        self.begins = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.begins[[i for token, i in vocabulary.items() if token.startswith(spaces)]] = True
+        self.keys, self.heads = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.uint64)
+        self.lengths, self.at, self.n, self.uses = (np.empty(0, dtype=np.int64) for _ in range(4))
+        self.pool = np.empty(0, dtype="<u4")
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
         """The library's ids of whole texts."""
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def learn(self, words: list[str], mark: str) -> dict[str, bytes]:
-        """Has the library encode words that follow a space or a line end, all at once, and remembers each."""
-        if not words:
-            return {}
-        text = " " + " ".join(words) if mark == " " else "".join(words)
+        return [np.array(e.ids, dtype="<u4") for e in found]
+
+    def forget(self) -> None:
+        """Keeps the half of the words that was met most since the last time."""
+        kept = np.sort(np.argsort(-self.uses, kind="stable")[: MEMO_WORDS // 2])
+        self.pool = self.pool[ragged(self.at[kept], self.n[kept])]
+        self.keys, self.heads, self.lengths, self.n = (x[kept] for x in (self.keys, self.heads, self.lengths, self.n))
+        self.at, self.uses = np.cumsum(self.n) - self.n, np.zeros(len(kept), dtype=np.int64)
+
+    def learn(self, words: Words, first: np.ndarray, keys: np.ndarray) -> bool:
+        """Has the library encode the words at the places first, with the white space before each, all at once."""
+        text = words.data[ragged(words.starts[first] - 1, words.lengths[first] + 1)].tobytes().decode()
         ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-        edges = np.append(np.flatnonzero(self.begins[mark][ids]), len(ids)) * 4
-        if len(edges) == len(words) + 1 and not edges[0]:
-            data, edges = ids.tobytes(), edges.tolist()
-            found = [data[a:b] for a, b in zip(edges, edges[1:], strict=False)]
-        else:  # white space of another kind inside a word
-            found = self.whole([" " + word if mark == " " else word for word in words])
-        new = dict(zip(words, found, strict=True))
-        self.words.update(new)
-        return new
-
-    def encode_some(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        apart = [i for i, text in enumerate(texts) if not text or _UNSAFE.search(text)]
-        for i, ids in zip(apart, self.whole([texts[i] for i in apart]), strict=True):
-            out[i] = ids
-        kept = [i for i, ids in enumerate(out) if ids is None]
-        split = [texts[i].replace("\n", " \n").split(" ") for i in kept]
-        firsts = self.whole([words.pop(0) for words in split])
-        if len(self.words) > MEMO_WORDS:
-            self.older, self.words = self.words, {}
-        get, older = self.words.get, self.older
-        found = [list(map(get, words)) for words in split]
-        unmet = {word for words, row in zip(split, found, strict=True) for word, ids in zip(words, row, strict=True) if ids is None}
-        known = {word: older[word] for word in unmet if word in older}
-        self.words.update(known)
-        unmet.difference_update(known)
-        lines = [word for word in unmet if word[0] == "\n"]
-        unmet.difference_update(lines)
-        new = known | self.learn(list(unmet), " ") | self.learn(lines, "\n")
-        for i, first, words, row in zip(kept, firsts, split, found, strict=True):
-            out[i] = first + b"".join([new[word] if ids is None else ids for word, ids in zip(words, row, strict=True)])
-        return out
-
-    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of whole texts in order, as bytes of little-endian uint32."""
+        edges = np.append(np.flatnonzero(self.begins[ids]), len(ids))
+        if len(edges) != len(first) + 1 or edges[0]:
+            return False
+        place = np.searchsorted(self.keys, keys)
+        new = {"keys": keys, "heads": words.heads[first], "lengths": words.lengths[first], "at": len(self.pool) + edges[:-1], "n": np.diff(edges), "uses": np.zeros(len(first), dtype=np.int64)}
+        for name, values in new.items():
+            setattr(self, name, np.insert(getattr(self, name), place, values))
+        self.pool = np.concatenate([self.pool, ids])
+        return True
+
+    def cut(self, texts: list[str]) -> list[np.ndarray] | None:
+        """The ids of texts without runs of white space, or None where words can't be told apart."""
+        encoded = [text.encode() for text in texts]
+        words = Words(b"\n" + b"\n".join([*encoded, b""]) + bytes(8))  # a line end before each text: its id is dropped again
+        every = pair(words.hashes(), words.data[words.starts - 1].astype(np.uint64))
+        keys, first, inverse = np.unique(every, return_index=True, return_inverse=True)
+        if (words.heads[first][inverse] != words.heads).any() or (words.lengths[first][inverse] != words.lengths).any():
+            return None
+        if len(self.keys) > MEMO_WORDS:
+            self.forget()
+
+        def places() -> tuple[np.ndarray, np.ndarray]:
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            return at, self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), dtype=bool)
+
+        at, known = places()
+        if not known.all():
+            if not self.learn(words, first[~known], keys[~known]):
+                return None
+            at, _ = places()
+        if (self.heads[at] != words.heads[first]).any() or (self.lengths[at] != words.lengths[first]).any():
+            return None
+        self.uses[at] += 1
+        counts = self.n[at][inverse]
+        ids = self.pool[ragged(self.at[at][inverse], counts)]
+        edges = np.searchsorted(words.starts, np.cumsum([1, *(len(t) + 1 for t in encoded)]))
+        edges = np.concatenate([[0], np.cumsum(counts)])[edges].tolist()
+        return [ids[a + 1 : b] for a, b in zip(edges, edges[1:], strict=False)]
+
+    def encode_some(self, texts: list[str]) -> list[np.ndarray]:
+        apart = {i for i, text in enumerate(texts) if not text or _UNSAFE.search(text)}
+        rest = [text for i, text in enumerate(texts) if i not in apart]
+        found = (self.cut(rest) if rest else []) if len(apart) < len(texts) else []
+        found, whole = iter(self.whole(rest) if found is None else found), iter(self.whole([texts[i] for i in sorted(apart)]))
+        return [next(whole if i in apart else found) for i in range(len(texts))]
+
+    def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of whole texts in order, as little-endian uint32."""
         some, size = [], 0
         for text in texts:
             some.append(text)
