@@ -8,6 +8,7 @@ and a temperature fitted on rows apart makes the scores probabilities.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -167,10 +168,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
                             total[own] += np.add.reduceat(word_index[there[order]], first, axis=0)
         yield pa.RecordBatch.from_pydict({"total": [total.tobytes()]})
 
-    parts = sample.select("text").mapInArrow(contexts, "total binary").collect()  # at most 8 matrices of fixed size
-    total = sum((np.frombuffer(p["total"]).reshape(BUCKETS, WORD_DIMS) for p in parts), np.zeros((BUCKETS, WORD_DIMS)))
-    length = np.linalg.norm(total, axis=1, keepdims=True)
-    words = (word_index + total / np.maximum(length, 1e-9)).astype(np.float32)
+    def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((BUCKETS, WORD_DIMS))
+        for batch in batches:
+            for part in batch.column(0):
+                total += np.frombuffer(part.as_buffer()).reshape(total.shape)
+        length = np.linalg.norm(total, axis=1, keepdims=True)
+        yield pa.RecordBatch.from_pydict({"words": [(word_index + total / np.maximum(length, 1e-9)).astype(np.float32).tobytes()]})
+
+    # At most 8 matrices of fixed size meet in one task, and one comes to the driver.
+    parts = sample.select("text").mapInArrow(contexts, "total binary").repartition(1).mapInArrow(gather, "words binary")
+    words = np.frombuffer(parts.first()["words"], dtype=np.float32).reshape(BUCKETS, WORD_DIMS)
 
     def describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,12 +187,18 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
                 rows = slice(at, at + len(texts))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[rows], batch.column(1)[rows], pa.array([f.tobytes() for f in found], pa.binary())], names=["doc_id", "y", "f"])
 
-    rows = sample.select("doc_id", "y", "text").mapInArrow(describe, "doc_id long, y double, f binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["f"]))
-    y = np.array([r["y"] for r in rows])
-    if len(set(y.tolist())) < 2:
-        return Model(words, shape_index, None, float(y[0]) if len(y) else 1.0)
-    return Model(words, shape_index, fit(np.array([np.frombuffer(r["f"], dtype=np.float32) for r in rows], dtype=np.float64), y))
+    def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches, schema=pa.schema([("doc_id", pa.int64()), ("y", pa.float64()), ("f", pa.binary())])).sort_by([("doc_id", "ascending"), ("y", "ascending")])
+        y = rows["y"].to_numpy()
+        found = float(y[0]) if len(y) else 1.0
+        if len(set(y.tolist())) > 1:
+            found = fit(np.frombuffer(b"".join(rows["f"].to_pylist()), dtype=np.float32).reshape(len(y), -1).astype(np.float64), y)
+        yield pa.RecordBatch.from_pydict({"found": [pickle.dumps(found)]})
+
+    # `most` rows of fixed size at most: fitted in one task, so that the driver holds the network alone.
+    fitted = sample.select("doc_id", "y", "text").mapInArrow(describe, "doc_id long, y double, f binary").repartition(1).mapInArrow(learn, "found binary")
+    found = pickle.loads(bytes(fitted.first()["found"]))
+    return Model(words, shape_index, found) if isinstance(found, Network) else Model(words, shape_index, None, found)
 
 
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
