@@ -103,6 +103,6 @@ def test_nonbranching_fragments_become_one_path(spark):
         keyed = substrings.keyed_rows(spark.createDataFrame(rows + extra, "doc_id long, text string"))
         found = substrings.find_fragments(keyed, 35, 8)
         twice = found.groupBy("mh", "ch").count().where("count > 1").select("mh", "ch")
-        paths = {r["k2"]: substrings.joined_paths([f.asDict() for f in r["whole"]]) for r in substrings.compacted(found.join(twice, ["mh", "ch"])).collect()}
+        paths = {r["k2"]: substrings.joined_paths([f.asDict() for f in r["whole"]], r["heads"]) for r in substrings.compacted(found.join(twice, ["mh", "ch"])).collect()}
         assert len(paths[1]) >= least and [p[1:] for p in paths[1]] == [p[1:] for p in paths[2]]
         assert len(paths[1]) < len(twice.collect()) and (extra or len(paths[1]) == 1)

@@ -158,11 +158,11 @@ def find_fragments(keyed: DataFrame, window: int, kmer: int, seed: int = 0) -> D
 
 
 def compacted(repeated: DataFrame) -> DataFrame:
-    """(k1, k2, whole): the repeated fragments (k1, k2, p, n, mh, ch) of each row in order, each with tied: whether it
-    continues the nonbranching path of the one before it.
+    """(k1, k2, whole, heads): the repeated fragments (k1, k2, p, n, mh, ch) of each row in order, and the places p of
+    those that start a path of the graph.
 
-    Nodes are contents, edges lead from a fragment to the next one of its row. A node is tied to its predecessor where
-    it has that one alone, everywhere, and the predecessor no other successor."""
+    Nodes are contents, edges lead from a fragment to the next one of its row. A node continues a path where it has one
+    predecessor alone, everywhere, and that one no other successor; the others are heads."""
     node = F.struct("mh", "ch")
     row = Window.partitionBy("k1", "k2").orderBy("p")
     after, before = F.lead(F.struct("p", node.alias("node"))).over(row), F.lag(F.struct((F.col("p") + F.col("n")).alias("p"), node.alias("node"))).over(row)
@@ -171,17 +171,21 @@ def compacted(repeated: DataFrame) -> DataFrame:
     # One neighbour on a side: each occurrence has one there, and the least equals the greatest.
     one = lambda side: F.when((F.count(side) == F.count("*")) & (F.min(side) == F.max(side)), F.min(side)).alias(side)
     nodes = written(placed.groupBy("mh", "ch").agg(one("before"), one("after")), "nodes")
-    back = nodes.where("after is not null").select(F.col("mh").alias("b_mh"), F.col("ch").alias("b_ch"), F.col("after.mh").alias("mh"), F.col("after.ch").alias("ch"))
-    tied = nodes.where("before is not null").select("mh", "ch", F.col("before.mh").alias("b_mh"), F.col("before.ch").alias("b_ch")).join(back, ["mh", "ch", "b_mh", "b_ch"]).select("mh", "ch", F.lit(True).alias("tied"))
-    marked = repeated.join(tied, ["mh", "ch"], "left").select("k1", "k2", F.struct("p", "n", "mh", "ch", F.col("tied").isNotNull().alias("tied")).alias("f"))
-    return marked.groupBy("k1", "k2").agg(F.array_sort(F.collect_list("f")).alias("whole"))  # at most one for each window of a row
+    back = nodes.where("after is not null").select("after.mh", "after.ch", F.col("mh").alias("b_mh"), F.col("ch").alias("b_ch"))
+    tied = nodes.where("before is not null").select("mh", "ch", F.col("before.mh").alias("b_mh"), F.col("before.ch").alias("b_ch")).join(back, ["mh", "ch", "b_mh", "b_ch"], "left_semi")
+    heads = written(nodes.select("mh", "ch").join(tied, ["mh", "ch"], "left_anti"), "heads")
+    # Inside a path nothing is joined: of a passage that is everywhere, the rows that meet are its heads.
+    starts = repeated.join(heads, ["mh", "ch"], "left_semi").select("k1", "k2", F.lit(None).cast("struct<p:int,n:smallint,mh:bigint,ch:bigint>").alias("f"), F.col("p").alias("head"))
+    every = repeated.select("k1", "k2", F.struct("p", "n", "mh", "ch").alias("f"), F.lit(None).cast("int").alias("head"))
+    return every.unionByName(starts).groupBy("k1", "k2").agg(F.array_sort(F.collect_list("f")).alias("whole"), F.collect_list("head").alias("heads"))  # at most one for each window of a row
 
 
-def joined_paths(spans: list[dict]) -> list[tuple[int, int, int, int]]:
+def joined_paths(spans: list[dict], heads: list[int]) -> list[tuple[int, int, int, int]]:
     """First window, number of windows and head (mh, ch) of the paths of a row."""
     out: list[list[int]] = []
+    heads = set(heads)
     for s in spans:
-        if out and s["tied"] and out[-1][0] + out[-1][1] == s["p"]:
+        if out and s["p"] not in heads and out[-1][0] + out[-1][1] == s["p"]:
             out[-1][1] += s["n"]
         else:
             out.append([s["p"], s["n"], s["mh"], s["ch"]])
@@ -247,15 +251,15 @@ def keyed_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, diges
     def first_pass(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
         for batch in batches:
-            ids, whole, opened = (batch.column(i) for i in (0, 2, 3))
-            keys = [batch.column(i).to_numpy() for i in (4, 5)]
+            ids, whole, heads, opened = (batch.column(i) for i in (0, 2, 3, 4))
+            keys = [batch.column(i).to_numpy() for i in (5, 6)]
             for at, texts in _groups(batch, 1):
                 needs = [opened[at + i].is_valid for i in range(len(texts))]
                 hashes, sizes = word_hashes([t for t, need in zip(texts, needs, strict=True) if need], 2 * seed + 1)
                 hashes = iter(np.split(hashes, np.cumsum(sizes)[:-1]))
                 for i, text in enumerate(texts, at):
                     words = text.split()
-                    spans = joined_paths(whole[i].as_py() or [])
+                    spans = joined_paths(whole[i].as_py() or [], heads[i].as_py() or [])
                     p, n = (np.array([s[k] for s in spans], dtype=np.int64) for k in (0, 1))
                     sums = [hashlib.blake2b(b" ".join(words[s[0] : s[0] + s[1] + window - 1]), digest_size=16).digest() for s in spans]
                     row = {"k1": int(keys[0][i]), "k2": int(keys[1][i]), "done": None, "text": None, "p": None, "n": None, "probe": None, "probe_mh": None, "probe_wh": None, "known_mh": None, "known_wh": None}
@@ -284,7 +288,7 @@ def keyed_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, diges
         if rows:
             yield pa.RecordBatch.from_pylist(rows, FIRST)
 
-    first = placed.select("doc_id", "text", "whole", "opened", "k1", "k2").mapInArrow(first_pass, f"k1 long, k2 long, done struct<{OUT.replace(' long', ':long').replace(' string', ':string').replace('removed array', 'removed:array')}>, text binary, p array<int>, n array<int>, probe array<int>, probe_mh array<long>, probe_wh array<long>, known_mh array<long>, known_wh array<long>, sums array<struct<mh:long,ch:long,n:int,digest:binary>>")
+    first = placed.select("doc_id", "text", "whole", "heads", "opened", "k1", "k2").mapInArrow(first_pass, f"k1 long, k2 long, done struct<{OUT.replace(' long', ':long').replace(' string', ':string').replace('removed array', 'removed:array')}>, text binary, p array<int>, n array<int>, probe array<int>, probe_mh array<long>, probe_wh array<long>, known_mh array<long>, known_wh array<long>, sums array<struct<mh:long,ch:long,n:int,digest:binary>>")
     first = written(first, "opened")
     released(repeated, paths)
     sums = first.select(F.explode("sums").alias("s")).groupBy("s.mh", "s.ch", "s.n").agg((F.min("s.digest") != F.max("s.digest")).alias("differ"))
