@@ -1,6 +1,9 @@
 from __future__ import annotations
 
-from tropica.llm.html_text import extract, main_text
+import time
+
+from tropica.llm.html_text import blocks, extract, features, main_text, tree
+from tropica.llm.cart import predict
 
 PARAGRAPH = "The river had been high all week, and nobody in the village expected the old bridge to hold for another night."
 PAGE = f"""<!DOCTYPE html><html><head><title>T</title><style>p{{x:1}}</style><script>var a = "</p><p>no</p>";</script></head><body>
@@ -31,3 +34,44 @@ def test_rows(spark):
     by = {r["page_id"]: r["text"] for r in found}
     assert by[2] == by[None] == "" and by[1] == main_text(PAGE) and by[3].count("\n") == 19_999
     assert extract(pages.limit(0)).columns == ["page_id", "url", "text", "n_chars"] and extract(pages.limit(0)).count() == 0
+
+
+def test_long_attributes_and_unclosed_quotes():
+    assert main_text(f'<article><p title="{"a>" * 5000}">{PARAGRAPH}</p></article>') == PARAGRAPH
+    assert main_text(f'<article><p title="a>{PARAGRAPH}</p><p>{PARAGRAPH}</p></article>').endswith(PARAGRAPH)
+
+
+def test_hostile_pages_take_linear_time():
+    pages = ["<a " * 400_000, "<div>" * 100_000 + "</p>x" * 100_000, '<b ">" ' * 150_000 + "'", "x<!-- " * 150_000, "<script>" * 120_000, "<p>" * 300_000, "<a href=x><div>" * 60_000, "&" * 1_000_000, "</" * 500_000]
+    for page in pages:
+        began = time.process_time()
+        main_text(page)
+        assert time.process_time() - began < 4, page[:20]
+
+
+def test_links_reach_through_blocks():
+    found = blocks("<a href='/x'><div>one two</div><div>three</div></a><p>four <a>five</a> six</p><div><a>open</div><p>seven</p>")
+    assert [(b.text, b.linked) for b in found] == [("one two", 2), ("three", 1), ("four five six", 1), ("open", 1), ("seven", 0)]
+
+
+def test_lists_of_links_inside_articles_go():
+    links = "".join(f'<li><a href="/{i}">See part {i} too</a></li>' for i in range(6))
+    page = f'<article><h1>Head</h1><p>{PARAGRAPH}</p><ul>{links}</ul><p>{PARAGRAPH}</p><p><a href="/r">The whole report</a></p><p>{PARAGRAPH}</p></article>'
+    assert main_text(page).split("\n") == ["Head", PARAGRAPH, PARAGRAPH, "The whole report", PARAGRAPH]
+
+
+LABELLED = [  # pages of other builds than the table's rows: kept blocks begin with +, others with -
+    f"<body><div class='masthead'><a href=/>-Daily</a></div><div id='main'><h1>+A head</h1><p>+{PARAGRAPH}</p><p>+Short.</p><blockquote>+{PARAGRAPH}</blockquote><div class='share'>-Share this</div></div><div class='related'><ul><li><a>-One</a><li><a>-Two</a></ul></div><footer>-Imprint</footer>",
+    f"<body><ul><li><a>-Home</a><li><a>-World</a><li><a>-Sport</a></ul><div><p>+{PARAGRAPH}</p><p>+{PARAGRAPH} {PARAGRAPH}</p><p>+{PARAGRAPH}</p></div><ul><li><a>-Terms</a><li><a>-Privacy</a></ul>",
+    f"<main><header><h1>+Title</h1></header><p>+{PARAGRAPH}</p><aside>-An aside that says something else entirely here</aside><pre>+code here</pre><section id='comments'><p>-{PARAGRAPH}</p></section><p>+{PARAGRAPH}</p><ul><li><a>-Next story</a><li><a>-Last story</a></ul></main><form>-Search <input></form>",
+    f"<article class='post'><h2>+On rivers</h2><table><tr><td>+Height</td><td>+Date</td></tr><tr><td>+3 m</td><td>+May</td></tr></table><p>+{PARAGRAPH}<br>and <a>more</a></p><div class='ad'>-Buy boats now</div><p>+End.</p></article><div class='newsletter'><p>-{PARAGRAPH}</p></div>",
+]
+
+
+def test_labelled_blocks():
+    right = kept = wanted = 0
+    for page in LABELLED:
+        found = blocks(page)
+        for block, keep in zip(found, predict(tree(), features(found)) >= 0.5, strict=True):
+            right, kept, wanted = right + (keep and block.text[0] == "+"), kept + keep, wanted + (block.text[0] == "+")
+    assert right >= 0.95 * kept and right >= 0.95 * wanted and wanted == 18

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,9 @@ from pyspark.sql import functions as F
 
 from tropica.llm.cart import grow, predict
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]{0,4000}"|'[^']{0,4000}')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
+#: The rest of a tag after its name, quoted attributes of any length included; nothing in it is tried twice.
+_REST = re.compile(r"""([^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+)>""")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _NAMES = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none""", re.I)
 #: Their content is no text of the page.
@@ -53,14 +57,36 @@ TABLE = """
 2 0 30 0 0 0 0 0 0 0 0 0 | 6 .1 60 0 0 0 0 0 0 0 0 0 | 3 0 120 0 2 1 0 0 0 0 0 0 | 45 0 60 0 0 0 0 0 0 0 0 1 | 5 0 0 0 0 0 0 0 0 0 0 1
 25 0 30 0 0 0 0 0 0 0 0 1 | 60 0 0 0 0 0 0 0 0 0 0 1 | 4 .3 45 0 3 0 0 0 0 0 0 0 | 70 0 0 0 3 0 0 0 0 0 0 1 | 5 0 30 .1 0 0 0 0 0 0 0 0
 2 0 30 0 0 0 1 0 0 0 1 1 | 6 .1 60 0 0 0 1 0 0 0 1 1 | 3 0 120 0 2 1 1 0 0 0 1 1 | 4 .3 45 0 3 0 1 0 0 0 1 1 | 5 0 30 .1 0 0 1 0 0 0 1 1
-3 1 2 1 4 1 1 0 0 1 1 1 | 14 0 1 1 80 0 1 0 0 0 1 1 | 25 .9 5 1 8 1 1 0 0 0 1 1 | 7 0 5 1 3 1 1 0 0 0 1 1 | 4 0 3 1 2 1 1 0 1 0 1 1
+14 0 1 1 80 0 1 0 0 0 1 1 | 7 0 5 1 3 1 1 0 0 0 1 1 | 4 0 3 1 2 1 1 0 1 0 1 1 | 12 .6 70 0 40 0 1 0 0 0 1 1 | 60 .3 4 1 30 0 1 0 0 0 1 1
+3 1 2 1 4 1 1 0 0 1 1 0 | 25 .9 5 1 8 1 1 0 0 0 1 0 | 5 1 6 1 7 1 1 0 0 1 1 0 | 4 1 60 0 5 1 1 0 0 1 1 0 | 6 1 4 1 80 0 1 0 0 1 1 0
+2 1 45 0 3 1 1 0 0 0 1 0 | 9 1 8 1 12 .7 1 0 0 0 1 0 | 3 1 9 .8 0 0 1 0 0 1 1 0 | 7 .9 20 0 6 .9 1 0 0 0 1 0 | 2 1 3 1 50 0 1 0 0 0 1 0
+4 1 21 0 21 0 1 0 0 0 1 1 | 3 1 10 0 60 0 1 0 0 0 1 1 | 8 1 18 0 30 0 1 0 0 0 1 1 | 5 1 4 0 7 0 1 0 0 0 1 1 | 1 1 80 0 120 .1 1 0 0 0 1 1
+21 0 1 0 4 1 1 0 0 0 1 1 | 45 0 60 0 3 1 1 0 0 0 1 1 | 30 .1 20 0 5 1 1 0 0 0 1 1 | 3 0 40 0 4 1 1 0 1 0 1 1 | 6 0 25 .1 2 .8 1 0 0 0 1 1
+14 0 33 .2 12 1 1 0 0 1 1 1 | 90 .2 8 0 7 .9 1 0 0 0 1 1 | 70 0 4 1 5 1 1 0 0 0 1 1 | 2 0 3 1 3 1 1 0 1 0 1 1 | 18 0 6 1 40 0 1 0 0 0 1 1
+21 0 21 0 0 0 0 0 0 0 0 1 | 18 0 40 0 0 0 0 0 0 0 0 1 | 16 0 25 0 3 1 0 0 0 0 0 1 | 30 0 20 0 1 1 0 0 0 0 0 1 | 22 .1 60 0 2 0 0 0 0 0 0 1
+8 0 30 0 0 0 0 0 0 0 0 0 | 3 0 20 0 4 1 0 0 0 0 0 0 | 10 0 1 1 30 0 0 0 0 0 1 0 | 24 0 3 0 5 0 0 0 0 0 1 0 | 40 0 60 0 2 1 0 0 0 0 1 0
 """
 
 
+def typical() -> Iterator[tuple[float, ...]]:
+    """Rows like those of TABLE for every mix of sizes, labelled by kind of block."""
+    for words, before, after in product((1, 4, 9, 20, 60, 150), repeat=3):
+        near = ((before, 0, after, 0), (before, 1, after, 1), (before, 0, after, 1), (before, 1, after, 0), (before, 0.1, after, 0.6))
+        for density in (0, 0.2):
+            yield from ((words, density, *n, 1, 0, 0, 0, 1, 1) for n in near)  # prose of an article, whatever is beside it
+        yield from ((words, 1, *n, 1, 0, 0, 0, 1, float(n is near[0])) for n in near)  # links in it: one alone stays, rows of them go
+        yield from ((words, density, *near[0], 0, 0, 0, 0, 1, 0) for density in (0, 1))  # outside the article of the page
+        yield from ((words, density, *near[0], inside, 1, 0, 0, 1, 0) for density in (0, 1) for inside in (0, 1))  # boilerplate
+        # Pages that name no article: long blocks, and shorter ones between or beside long ones.
+        prose = words >= 20 or words >= 9 and max(before, after) >= 20 or min(before, after) >= 20
+        yield from ((words, density, *near[0], 0, 0, 0, 0, 0, float(prose)) for density in (0, 0.2))
+        yield from ((words, 1, *n, 0, 0, 0, 0, 0, 0) for n in near)
+
+
 @lru_cache(maxsize=1)
 def tree() -> tuple | float:
-    rows = np.array([[float(v) for v in row.split()] for line in TABLE.strip().splitlines() for row in line.split("|")])
-    return grow(rows[:, :-1], rows[:, -1])
+    rows = np.array([*([float(v) for v in row.split()] for line in TABLE.strip().splitlines() for row in line.split("|")), *typical()])
+    return grow(rows[:, :-1], rows[:, -1], depth=8, least=2)
 
 
 class Block:
@@ -70,11 +96,52 @@ class Block:
         self.parts: list[tuple[str, bool]] = []
 
 
+def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """Start, end, name (empty for comments and the like), whether it closes, and attributes of each tag, in one pass.
+
+    Where a quote never closes, that tag and all later ones end at their first >; a tag without any > is the rest of
+    the page. The end of a raw element's content counts as the end of its tag."""
+    at, quoted, closers = 0, True, {}
+    while (start := page.find("<", at)) >= 0:
+        after = page[start + 1 : start + 2]
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = end + 3 if end >= 0 else len(page)
+            yield start, at, "", False, ""
+            continue
+        closing = after == "/"
+        named = _NAME.match(page, start + 1 + closing)
+        if not named:
+            at = start + 1
+            if after and after in "!?/":  # a declaration
+                end = page.find(">", at)
+                at = end + 1 if end >= 0 else len(page)
+                yield start, at, "", False, ""
+            continue
+        rest = _REST.match(page, named.end()) if quoted else None
+        if rest:
+            attributes, at = rest[1], rest.end()
+        else:
+            quoted, end = False, page.find(">", named.end())
+            attributes, at = (page[named.end() : end], end + 1) if end >= 0 else ("", len(page))
+        name = named[0].lower()
+        if name in RAW and not closing:
+            if name not in closers:
+                closers[name] = re.compile(rf"</{name}\b[^>]*>?", re.I)
+            end = closers[name].search(page, at)
+            at = end.end() if end else len(page)
+        yield start, at, name, closing, attributes
+
+
 def blocks(page: str) -> list[Block]:
-    """The flat text blocks of a page, in order; malformed nesting is closed as far as it must be."""
+    """The flat text blocks of a page, in order; malformed nesting is closed as far as it must be.
+
+    Linear in the page: of open elements only counts are asked, and each is opened and closed once."""
     out: list[Block] = []
     stack: list[tuple[str, bool, bool, bool]] = []  # element, opens a body, opens boilerplate, is silent
-    body = boiler = silent = links = 0
+    opened: Counter[str] = Counter()
+    headings = body = boiler = silent = 0
+    link = None  # how many elements were open where the link began
     block = Block()
 
     def close() -> None:
@@ -84,56 +151,54 @@ def blocks(page: str) -> list[Block]:
             if text:
                 block.text, block.words = text, text.count(" ") + 1
                 block.linked = sum(len(html.unescape(t).split()) for t, linked in block.parts if linked)
-                names = [s[0] for s in stack]
                 block.body, block.boiler = body > 0, boiler > 0
-                block.heading, block.item = any(n in HEADINGS for n in names), "li" in names
+                block.heading, block.item = headings > 0, opened["li"] > 0
                 out.append(block)
             block = Block()
 
+    def leave() -> None:
+        nonlocal headings, body, boiler, silent, link
+        name, opens_body, opens_boiler, hides = stack.pop()
+        opened[name] -= 1
+        headings, body, boiler, silent = headings - (name in HEADINGS), body - opens_body, boiler - opens_boiler, silent - hides
+        if link is not None and len(stack) < link:
+            link = None  # left open in an element that is closed now
+
     at = 0
-    while at < len(page):
-        tag = _TAG.search(page, at)
-        text = page[at : tag.start() if tag else len(page)]
-        if text and not silent:
-            block.parts.append((text, links > 0))
-        if not tag:
-            break
-        at = tag.end()
-        name = (tag[2] or tag[5] or "").lower()
+    for start, end, name, closing, attributes in tags(page):
+        if start > at and not silent:
+            block.parts.append((page[at:start], link is not None))
+        at = end
         if not name:
             continue
-        closing, attributes = tag[1] or tag[4], tag[3] if tag[2] else tag[6]
         if name == "a":
-            links = 0 if closing else 1
+            link = None if closing else len(stack)
         if name in INLINE and name not in SILENT:
             if name == "br":
                 block.parts.append((" ", False))
             continue
         close()
-        links = 0
         if closing:
-            places = [i for i, s in enumerate(stack) if s[0] == name]
-            gone = stack[places[-1] :] if places else []
-            for _, opens_body, opens_boiler, hides in gone:
-                body, boiler, silent = body - opens_body, boiler - opens_boiler, silent - hides
-            del stack[len(stack) - len(gone) :]
-            continue
-        if name in RAW:
-            end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            while opened[name] and stack:
+                last = stack[-1][0]
+                leave()
+                if last == name:
+                    break
             continue
-        if name in VOID:
+        if name in RAW or name in VOID:
             continue
         if name in ("p", "li", *HEADINGS) and stack and stack[-1][0] in ("p", "li", *HEADINGS) and (name == stack[-1][0] or stack[-1][0] == "p"):
-            _, opens_body, opens_boiler, hides = stack.pop()  # left open: the next one closes it
-            body, boiler, silent = body - opens_body, boiler - opens_boiler, silent - hides
+            leave()  # left open: the next one closes it
         named = " ".join(x for found in _NAMES.findall(attributes) for x in found if x) if attributes else ""
         hides = name in SILENT or bool(attributes and _HIDDEN.search(attributes))
         # A header inside the article is its own head; names of the whole page say nothing.
         opens_boiler = name in BOILER_TAGS and not (name == "header" and body) or name not in ("html", "body", "article", "main") and bool(named and BOILER_NAMES.search(named))
         opens_body = name in BODY_TAGS or not opens_boiler and bool(named and BODY_NAMES.search(named))
         stack.append((name, opens_body, opens_boiler, hides))
-        body, boiler, silent = body + opens_body, boiler + opens_boiler, silent + hides
+        opened[name] += 1
+        headings, body, boiler, silent = headings + (name in HEADINGS), body + opens_body, boiler + opens_boiler, silent + hides
+    if at < len(page) and not silent:
+        block.parts.append((page[at:], link is not None))
     close()
     return out
 
