@@ -25,7 +25,9 @@ def test_coordinate_storage(spark, tmp_path):
     m = mtx.read_matrix(spark, put(tmp_path, text.format("integer", "symmetric", 5, -6)))
     assert rows(m) == [(0, 1, 5), (1, 0, 5), (1, 2, -6), (2, 1, -6)] and (m.nrows, m.ncols, m.kind) == (3, 3, "int64_t")
     assert rows(mtx.read_matrix(spark, put(tmp_path, text.format("real", "skew-symmetric", 1.5, "inf")))) == [(0, 1, -1.5), (1, 0, 1.5), (1, 2, float("-inf")), (2, 1, float("inf"))]
-    m = mtx.read_matrix(spark, put(tmp_path, text.format("pattern", "general", "", "").replace("% a", "%%GraphBLAS type bool\n% a")))
+    for tag in ("%%Tropica", "%%tropica", "%%Other"):
+        assert mtx.read_matrix(spark, put(tmp_path, text.format("integer", "general", 5, 6).replace("% a", f"{tag} type int8_t\n% a"))).kind == "int8_t"
+    m = mtx.read_matrix(spark, put(tmp_path, text.format("pattern", "general", "", "").replace("% a", "%%Anything type bool\n% a")))
     assert rows(m) == [(1, 0, True), (2, 1, True)]
 
 
@@ -49,7 +51,7 @@ def test_arrays_and_bare_files(spark, tmp_path):
         ("%%MatrixMarket matrix coordinate real general\n2 2 1\n3 1 1\n", errors.IndexOutOfBounds),
         ("%%MatrixMarket matrix coordinate real general\n2 2 2\n1 1 1\n1 1 2\n", errors.InvalidValue),
         ("%%MatrixMarket matrix coordinate complex general\n1 1 1\n1 1 1 1\n", errors.NotImplementedKind),
-        ("%%MatrixMarket matrix coordinate integer general\n%%GraphBLAS type int8_t\n1 1 1\n1 1 300\n", errors.ReadWriteError),
+        ("%%MatrixMarket matrix coordinate integer general\n%%Anything type int8_t\n1 1 1\n1 1 300\n", errors.ReadWriteError),
     ],
 )
 def test_malformed(spark, tmp_path, text, error):

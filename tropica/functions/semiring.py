@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,16 +18,23 @@ from tropica.errors import InvalidValue
 
 @dataclass(frozen=True)
 class Semiring:
+    """add aggregates, multiply combines two entries; a positional product gets the indices (i, k, j) of A(i, k) B(k, j) instead."""
+
     add: Callable[[Column], Column]
-    multiply: Callable[[Column, Column], Column]
+    multiply: Callable[..., Column]
+    positional: bool = False
+
+    def product(self, a: Column, b: Column, i: Column, k: Column, j: Column) -> Column:
+        return self.multiply(i, k, j) if self.positional else self.multiply(a, b)
 
 
-_ADD = {"plus": F.sum, "min": F.min, "max": F.max, "any": F.min, "lor": F.bool_or, "land": F.bool_and}
+_ADD = {"plus": F.sum, "times": F.product, "min": F.min, "max": F.max, "any": F.min, "lor": F.bool_or, "land": F.bool_and}
 _TIMES = {
-    "times": lambda a, b: a * b, "plus": lambda a, b: a + b, "first": lambda a, b: a, "second": lambda a, b: b, "min": F.least, "max": F.greatest, "minus": lambda a, b: a - b,
-    "one": lambda a, b: F.lit(1).cast("long"), "land": lambda a, b: a & b, "lor": lambda a, b: a | b,
+    "times": lambda a, b: a * b, "plus": lambda a, b: a + b, "first": lambda a, b: a, "second": lambda a, b: b, "min": F.least, "max": F.greatest, "minus": lambda a, b: a - b, "div": lambda a, b: a / b,
+    "one": lambda a, b: F.lit(1).cast("long"), "land": lambda a, b: a & b, "lor": lambda a, b: a | b, "eq": lambda a, b: a == b, "ne": lambda a, b: a != b, "lt": lambda a, b: a < b, "gt": lambda a, b: a > b, "le": lambda a, b: a <= b, "ge": lambda a, b: a >= b,
 }
-SEMIRINGS = {f"{a}_{t}": Semiring(_ADD[a], _TIMES[t]) for a in _ADD for t in _TIMES} | {f"{a}_pair": Semiring(_ADD[a], _TIMES["one"]) for a in _ADD}
+_PLACES = {"firsti": lambda i, k, j: i, "firstj": lambda i, k, j: k, "secondi": lambda i, k, j: k, "secondj": lambda i, k, j: j}
+SEMIRINGS = {f"{a}_{t}": Semiring(_ADD[a], _TIMES[t]) for a in _ADD for t in _TIMES} | {f"{a}_pair": Semiring(_ADD[a], _TIMES["one"]) for a in _ADD} | {f"{a}_{t}": Semiring(_ADD[a], _PLACES[t], True) for a in _ADD for t in _PLACES}
 
 
 def semiring(s: str | Semiring) -> Semiring:
@@ -44,33 +52,38 @@ def masked(df: DataFrame, mask: DataFrame | None, keys: list[str], complement: b
 
 
 def accumulate(old: DataFrame | None, new: DataFrame, keys: list[str], value: str, op: Callable[[Column], Column] | None, mask: DataFrame | None = None, replace: bool = False, complement: bool = False) -> DataFrame:
-    """Writes new into old: with op their union combined by it; without, new values overwrite inside the mask, and rows outside it survive unless replace."""
+    """Writes new into old through a mask: inside it the result is new, or with op the union of both combined by it;
+    outside it old survives unless replace. Without a mask all is inside; complement turns the mask around."""
     if old is None:
-        return new
+        return masked(new, mask, keys, complement)
     if op:
-        return old.select(*keys, value).unionByName(new.select(*keys, value)).groupBy(*keys).agg(op(value).alias(value))
-    if mask is None or replace:
+        new = old.select(*keys, value).unionByName(new.select(*keys, value)).groupBy(*keys).agg(op(value).alias(value))
+    if mask is None:
         return new
-    return masked(old, mask, keys, not complement).unionByName(new)
+    inside = masked(new.select(*keys, value), mask, keys, complement)
+    return inside if replace else inside.unionByName(masked(old.select(*keys, value), mask, keys, not complement))
 
 
 def mxm(a: DataFrame, b: DataFrame, s: str | Semiring, mask: DataFrame | None = None, complement: bool = False, valued: str | None = None) -> DataFrame:
     """C = A (+.x) B. A mask of wanted pairs is joined before the aggregation, so that unwanted pairs are never summed."""
     s = semiring(s)
     left, right = a.select(F.col("src"), F.col("dst").alias("k"), F.col("w").alias("a")), b.select(F.col("src").alias("k"), F.col("dst"), F.col("w").alias("b"))
-    pairs = masked(left.join(right, "k").select("src", "dst", s.multiply(F.col("a"), F.col("b")).alias("w")), mask, ["src", "dst"], complement, valued)
+    product = s.product(F.col("a"), F.col("b"), F.col("src"), F.col("k"), F.col("dst"))
+    pairs = masked(left.join(right, "k").select("src", "dst", product.alias("w")), mask, ["src", "dst"], complement, valued)
     return pairs.groupBy("src", "dst").agg(s.add("w").alias("w"))
 
 
 def mxv(a: DataFrame, x: DataFrame, s: str | Semiring, mask: DataFrame | None = None, complement: bool = False, valued: str | None = None) -> DataFrame:
     s = semiring(s)
-    pairs = a.join(x.select(F.col("id").alias("dst"), "x"), "dst").select(F.col("src").alias("id"), s.multiply(F.col("w"), F.col("x")).alias("x"))
+    product = s.product(F.col("w"), F.col("x"), F.col("src"), F.col("dst"), F.lit(0).cast("long"))
+    pairs = a.join(x.select(F.col("id").alias("dst"), "x"), "dst").select(F.col("src").alias("id"), product.alias("x"))
     return masked(pairs, mask, ["id"], complement, valued).groupBy("id").agg(s.add("x").alias("x"))
 
 
 def vxm(x: DataFrame, a: DataFrame, s: str | Semiring, mask: DataFrame | None = None, complement: bool = False, valued: str | None = None) -> DataFrame:
     s = semiring(s)
-    pairs = a.join(x.select(F.col("id").alias("src"), "x"), "src").select(F.col("dst").alias("id"), s.multiply(F.col("x"), F.col("w")).alias("x"))
+    product = s.product(F.col("x"), F.col("w"), F.lit(0).cast("long"), F.col("src"), F.col("dst"))
+    pairs = a.join(x.select(F.col("id").alias("src"), "x"), "src").select(F.col("dst").alias("id"), product.alias("x"))
     return masked(pairs, mask, ["id"], complement, valued).groupBy("id").agg(s.add("x").alias("x"))
 
 
@@ -147,3 +160,21 @@ def diagonal(x: DataFrame) -> DataFrame:
 
 def diagonal_of(a: DataFrame) -> DataFrame:
     return a.where("src = dst").select(F.col("src").alias("id"), F.col("w").alias("x"))
+
+
+def set_element(a: DataFrame, at: dict[str, int], value, name: str = "w") -> DataFrame:
+    """a with one entry put in, or overwritten where there is one."""
+    here = reduce(lambda x, y: x & y, [F.col(k) == v for k, v in at.items()])
+    one = a.sparkSession.range(1).select(*(F.lit(v).cast("long").alias(k) for k, v in at.items()), F.lit(value).cast(a.schema[name].dataType).alias(name))
+    return a.select(*at, name).where(~here).unionByName(one)
+
+
+def element(a: DataFrame, at: dict[str, int], name: str = "w"):
+    """The value of one entry, None where there is none."""
+    found = a.where(reduce(lambda x, y: x & y, [F.col(k) == v for k, v in at.items()])).select(name).first()
+    return found and found[name]
+
+
+def structure_of(x: DataFrame, value: str = "x") -> DataFrame:
+    """The same entries, all true."""
+    return x.withColumn(value, F.lit(True))

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import warnings
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tropica.errors import CacheNotNeeded, InvalidGraph, NoSelfEdgesAllowed, SymmetryRequired
+from tropica.errors import CacheNotNeeded, InvalidGraph, NoSelfEdgesAllowed, NotCached, SymmetryRequired
 
 
 @dataclass
@@ -21,7 +21,6 @@ class Graph:
     edges: DataFrame
     vertices: DataFrame = None
     directed: bool = True
-    _cache: dict = field(default_factory=dict, repr=False)
 
     def __post_init__(self):
         if "w" not in self.edges.columns:
@@ -52,6 +51,23 @@ class Graph:
     def n(self) -> int:
         return self.vertices.count()
 
+    def delete_cached(self) -> None:
+        """Forgets the properties found so far; they are found anew when asked for."""
+        for name in ("n", "symmetric_structure", "self_edges"):
+            self.__dict__.pop(name, None)
+
+    def cached(self, name: str):
+        """A property found before; NotCached where it was not."""
+        if name not in self.__dict__:
+            raise NotCached(f"{name} has not been found yet")
+        return self.__dict__[name]
+
+    def copied(self) -> DataFrame:
+        """The edges of a directed graph."""
+        if not self.directed:
+            raise InvalidGraph("the graph must be directed")
+        return self.edges.select("src", "dst", "w")
+
     def transpose(self) -> DataFrame:
         if not self.directed:
             warnings.warn(CacheNotNeeded("an undirected graph is its own transpose"), stacklevel=2)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tropica.errors import InvalidIndex, NegativeCycle, NotImplementedKind
 from tropica.graph import Graph
-from tropica.plans.fixpoint import written
+from tropica.plans.fixpoint import released, written
 
 
 def relax(edges: DataFrame, seeds: DataFrame, extend: Column, most: int | None = None) -> DataFrame:
@@ -23,7 +23,8 @@ def relax(edges: DataFrame, seeds: DataFrame, extend: Column, most: int | None =
             raise NegativeCycle("labels still fall after as many rounds as there are vertices")
         sent = edges.alias("e").join(frontier.select(F.col("id").alias("src"), "x"), "src").select(F.col("dst").alias("id"), extend.alias("x"), F.lit(None).cast(state.schema["x"].dataType).alias("old"))
         merged = state.select("id", "x", F.col("x").alias("old")).unionByName(sent).groupBy("id").agg(F.min("x").alias("x"), F.min("old").alias("old"))
-        state = written(merged.select("id", "x", (F.col("old").isNull() | (F.col("x") < F.col("old"))).alias("fresh")), "labels")
+        last, state = state, written(merged.select("id", "x", (F.col("old").isNull() | (F.col("x") < F.col("old"))).alias("fresh")), "labels")
+        released(last)
         rounds += 1
     return state.select("id", "x")
 
@@ -67,6 +68,12 @@ def bellman_ford(g: Graph, source: int) -> DataFrame:
     return relax(edges, _seed(g, source, start), step, g.n).select("id", "x.d", "x.h", "x.pi")
 
 
+def bellman_ford_dense(g: Graph, source: int) -> DataFrame:
+    """bellman_ford with a row for every vertex: unreached ones at infinity, with the greatest count of hops and parent 0."""
+    found = g.vertices.join(bellman_ford(g, source), "id", "left")
+    return found.select("id", F.coalesce("d", F.lit(float("inf"))).alias("d"), F.coalesce("h", F.lit(2**63 - 1)).alias("h"), F.coalesce("pi", F.lit(0).cast("long")).alias("pi"))
+
+
 def all_pairs(g: Graph, most: int = 60) -> DataFrame:
     """(src, dst, d) of all connected pairs by repeated min-plus squaring; for graphs whose square of vertices is affordable."""
     from tropica.functions.semiring import mxm

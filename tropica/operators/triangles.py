@@ -14,6 +14,10 @@ from tropica.graph import Graph
 from tropica.plans.fixpoint import written
 
 
+#: Up to this many edges, lists of successors (8 bytes an edge) are sent to all executors; more are joined by a shuffle.
+SENT_EDGES = 4_000_000
+
+
 def oriented(edges: DataFrame) -> DataFrame:
     """Each undirected edge once, from lower to higher (degree, id)."""
     degree = edges.groupBy("src").agg(F.count("*").alias("d"))
@@ -25,6 +29,8 @@ def triangles(edges: DataFrame) -> DataFrame:
     """(a, b, c) of every triangle once, in orientation order."""
     o = written(oriented(edges), "oriented")
     after = o.groupBy("src").agg(F.collect_list("dst").alias("after"))
+    if o.count() <= SENT_EDGES:  # the lists hold each edge once: their size is known
+        after = F.broadcast(after)
     closed = o.join(after, "src").join(after.select(F.col("src").alias("dst"), F.col("after").alias("after_dst")), "dst")
     return closed.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.explode(F.array_intersect("after", "after_dst")).alias("c"))
 
@@ -36,8 +42,9 @@ METHODS = {
 }
 
 
-def triangle_count(g: Graph, method: str = "auto", presort: bool = True) -> int:
-    """All methods count the same triangles; they differ in which products are taken. With presort, vertices are ordered by degree first.
+def triangle_count(g: Graph, method: str = "auto", presort: bool | None = True) -> int:
+    """All methods count the same triangles; they differ in which products are taken. With presort, vertices are ordered by degree first;
+    None asks a sample of degrees whether that pays.
 
     auto takes the oriented form, whose work is bounded on skewed graphs."""
     g.require_symmetric(self_edges_allowed=False)
@@ -46,6 +53,10 @@ def triangle_count(g: Graph, method: str = "auto", presort: bool = True) -> int:
     if method not in METHODS:
         raise InvalidValue(f"unknown method {method}")
     mask, left, right, times = METHODS[method]
+    if presort is None:
+        from tropica.sources.random_graph import prefers_presort
+
+        presort = prefers_presort(g)
     edges = g.edges.select("src", "dst")
     if presort:
         degree = edges.groupBy("src").agg(F.count("*").alias("d"))

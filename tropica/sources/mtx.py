@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,10 +50,8 @@ def _header(lines: list[str]) -> tuple[_Header, list[int], int]:
             if words[4] not in ("general", "symmetric", "skew-symmetric", "hermitian"):
                 raise ReadWriteError(f"unknown storage {words[4]}")
             head, seen = _Header(*words[2:]), True
-        elif text.startswith("%%graphblas"):
-            words = text.split(None, 2)
-            if len(words) == 3 and words[1] == "type":
-                head.kind = words[2]
+        elif typed := re.match(r"%%(\S+)\s+type\s+(\S.*)", text):  # whatever program wrote it
+            head.kind = typed[2].strip()
         elif text and not text.startswith("%"):
             try:
                 sizes = [int(x) for x in text.split()]
@@ -151,7 +150,7 @@ def write_matrix(m: Matrix, path: str, comments: str = "") -> None:
     full = n == m.nrows * m.ncols
     pattern = not full and e.where(F.col("w").cast("double") != 1).isEmpty()
     field = "pattern" if pattern else "real" if m.kind in ("float", "double") else "integer"
-    head = [f"%%MatrixMarket matrix {'array' if full else 'coordinate'} {field} {storage}", f"%%GraphBLAS type {m.kind}", *(f"% {c}" for c in comments.splitlines())]
+    head = [f"%%MatrixMarket matrix {'array' if full else 'coordinate'} {field} {storage}", f"%%Tropica type {m.kind}", *(f"% {c}" for c in comments.splitlines())]
     if storage != "general":
         e = e.where("src >= dst" if storage == "symmetric" or full else "src > dst")
     number = F.col("w").cast("int").cast("string") if m.kind == "bool" else F.col("w").cast("string")

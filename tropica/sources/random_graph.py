@@ -13,13 +13,6 @@ from tropica.sources.mtx import KINDS, Matrix
 _MASK = (1 << 64) - 1
 
 
-def next_state(x: int) -> int:
-    """Five steps of a linear congruential generator modulo 2**64."""
-    for _ in range(5):
-        x = (x * 1103515245 + 12345) & _MASK
-    return x
-
-
 def seed_vector(ids: DataFrame, seed: int) -> DataFrame:
     """(id, x): a random 64-bit state for every id."""
     return ids.select("id", F.xxhash64("id", F.lit(seed)).alias("x"))
