@@ -20,6 +20,22 @@ KINDS = {
 }
 
 
+def type_size(kind: str) -> int:
+    """Bytes of an entry of the type with this C name."""
+    if kind not in KINDS:
+        raise NotImplementedKind(f"unknown entry type {kind}")
+    digits = re.sub(r"\D", "", kind)
+    return int(digits) // 8 if digits else {"bool": 1, "float": 4, "double": 8}[kind]
+
+
+def kind_of(table: DataFrame, value: str = "w") -> str:
+    """The C name of a column's entry type; signed names where a Spark type stands for several."""
+    signed = {of: kind for kind, (of, _) in reversed(KINDS.items()) if not kind.startswith("u") or kind == "uint64_t"}
+    if (of := table.schema[value].dataType) not in signed:
+        raise NotImplementedKind(f"no entry type for {of.simpleString()}")
+    return signed[of]
+
+
 @dataclass
 class Matrix:
     """Entries (src, dst, w) from 0 on, with the shape and the C name of the entry type."""
