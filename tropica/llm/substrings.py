@@ -240,12 +240,15 @@ def keyed_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, diges
     least = written(shared, "least")  # a table of its own: the join below can then split a least k-mer that is everywhere
     shared = written(all_fragments.join(least, "mh"), "shared")
     released(all_fragments, least)
-    paths = shared.groupBy("mh", "ch").agg(F.count("*").alias("c"), F.first("open").alias("open"), F.min(F.struct("k1", "k2", "p", "n")).alias("at"))
+    # A least k-mer with one content alone repeats wherever it is; only where it has several are those counted and joined.
+    paths = shared.where("open").groupBy("mh", "ch").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "p", "n")).alias("at"))
     paths = written(paths, "paths")
+    columns = ["k1", "k2", "p", "n", "mh", "ch"]
+    several = shared.where("open").join(paths.where("c > 1").select("mh", "ch"), ["mh", "ch"])
     # Rows that repeat as a whole have one key: their fragments meet once, whatever their number.
-    repeated = written(shared.join(paths.where("c > 1").select("mh", "ch"), ["mh", "ch"]).select("k1", "k2", "p", "n", "mh", "ch").distinct(), "repeated")
+    repeated = written(shared.where("not open").select(columns).unionByName(several.select(columns)).distinct(), "repeated")
     released(shared)
-    opened = paths.where("open").groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct("at.p", "at.n", "mh", "c")).alias("opened"))
+    opened = paths.groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct("at.p", "at.n", "mh", "c")).alias("opened"))
     placed = keyed.join(compacted(repeated), ["k1", "k2"], "left").join(opened, ["k1", "k2"], "left")
 
     def first_pass(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
