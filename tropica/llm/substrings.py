@@ -99,10 +99,12 @@ def runs(words: np.ndarray, size: int) -> np.ndarray:
 
 
 def fragments(kmer_words: np.ndarray, words: np.ndarray, sizes: np.ndarray, window: int = WINDOW, kmer: int = KMER) -> tuple[np.ndarray, ...]:
-    """Text, first window, number of windows, least k-mer and content of each fragment of several texts in one row."""
+    """Text, first window, number of windows, least k-mer, content and repeats of each fragment of several texts in one row.
+
+    In periodic text a fragment follows itself: such a run is one row that says how often."""
     n = len(words) - window + 1
     if n <= 0:
-        return (np.empty(0, dtype=np.int64),) * 3 + (np.empty(0, dtype=np.uint64),) * 2
+        return (np.empty(0, dtype=np.int64),) * 3 + (np.empty(0, dtype=np.uint64),) * 2 + (np.empty(0, dtype=np.int64),)
     text = np.repeat(np.arange(len(sizes)), sizes)
     at = np.flatnonzero(text[:n] == text[window - 1 :])
     kmers, windows = runs(kmer_words, kmer), runs(words, window)
@@ -113,7 +115,13 @@ def fragments(kmer_words: np.ndarray, words: np.ndarray, sizes: np.ndarray, wind
     first, count = at[edges], np.diff(np.append(edges, len(at)))
     # At most window - kmer + 1 windows: the first and the last cover all words between.
     content = pair(pair(windows[first], windows[first + count - 1]), count.astype(np.uint64))
-    return text[first], first - (np.cumsum(sizes) - sizes)[text[first]], count, kmers[least[edges]], content
+    found = kmers[least[edges]]
+    again = np.zeros(len(first), dtype=bool)
+    again[1:] = (found[1:] == found[:-1]) & (content[1:] == content[:-1]) & (first[1:] == first[:-1] + count[:-1])
+    runs_at = np.flatnonzero(~again)
+    repeats = np.diff(np.append(runs_at, len(first)))
+    first, count, found, content = (x[runs_at] for x in (first, count, found, content))
+    return text[first], first - (np.cumsum(sizes) - sizes)[text[first]], count, found, content, repeats
 
 
 def _groups(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[bytes]]]:
@@ -150,11 +158,11 @@ def find_fragments(keyed: DataFrame, window: int, kmer: int, seed: int = 0) -> D
             k1, k2 = (batch.column(i).to_numpy() for i in (0, 1))
             for at, texts in _groups(batch, 2):
                 (first_hash, sizes), (other_hash, _) = word_hashes(texts, 2 * seed), word_hashes(texts, 2 * seed + 1)
-                row, first, count, least, content = fragments(first_hash, other_hash, sizes, window, kmer)
+                row, first, count, least, content, repeats = fragments(first_hash, other_hash, sizes, window, kmer)
                 row += at
-                yield pa.RecordBatch.from_arrays([pa.array(k1[row]), pa.array(k2[row]), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int16)), _signed(least), _signed(content)], names=["k1", "k2", "p", "n", "mh", "ch"])
+                yield pa.RecordBatch.from_arrays([pa.array(k1[row]), pa.array(k2[row]), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int16)), _signed(least), _signed(content), pa.array(repeats.astype(np.int32))], names=["k1", "k2", "p", "n", "mh", "ch", "m"])
 
-    return keyed.select("k1", "k2", "text").mapInArrow(find, "k1 long, k2 long, p int, n short, mh long, ch long")
+    return keyed.select("k1", "k2", "text").mapInArrow(find, "k1 long, k2 long, p int, n short, mh long, ch long, m int")
 
 
 def compacted(repeated: DataFrame) -> DataFrame:
@@ -175,7 +183,7 @@ def compacted(repeated: DataFrame) -> DataFrame:
     tied = nodes.where("before is not null").select("mh", "ch", F.col("before.mh").alias("b_mh"), F.col("before.ch").alias("b_ch")).join(back, ["mh", "ch", "b_mh", "b_ch"], "left_semi")
     heads = written(nodes.select("mh", "ch").join(tied, ["mh", "ch"], "left_anti"), "heads")
     # Inside a path nothing is joined: of a passage that is everywhere, the rows that meet are its heads.
-    starts = repeated.join(heads, ["mh", "ch"], "left_semi").select("k1", "k2", F.lit(None).cast("struct<p:int,n:smallint,mh:bigint,ch:bigint>").alias("f"), F.col("p").alias("head"))
+    starts = repeated.join(heads, ["mh", "ch"], "left_semi").select("k1", "k2", F.lit(None).cast(f"struct<p:int,n:{dict(repeated.dtypes)['n']},mh:bigint,ch:bigint>").alias("f"), F.col("p").alias("head"))
     every = repeated.select("k1", "k2", F.struct("p", "n", "mh", "ch").alias("f"), F.lit(None).cast("int").alias("head"))
     return every.unionByName(starts).groupBy("k1", "k2").agg(F.array_sort(F.collect_list("f")).alias("whole"), F.collect_list("head").alias("heads"))  # at most one for each window of a row
 
@@ -236,14 +244,16 @@ def keyed_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, diges
     """What remove_repeats returns, with the keys k1 and k2 of each row."""
     keyed = keyed_rows(docs)
     all_fragments = written(find_fragments(keyed, window, kmer, seed), "fragments")
-    shared = all_fragments.groupBy("mh").agg(F.count("*").alias("c"), (F.min("ch") != F.max("ch")).alias("open")).where("c > 1").drop("c")
+    shared = all_fragments.groupBy("mh").agg(F.sum("m").alias("c"), (F.min("ch") != F.max("ch")).alias("open")).where("c > 1").drop("c")
     least = written(shared, "least")  # a table of its own: the join below can then split a least k-mer that is everywhere
     shared = written(all_fragments.join(least, "mh"), "shared")
     released(all_fragments, least)
     # A least k-mer with one content alone repeats wherever it is; only where it has several are those counted and joined.
-    paths = shared.where("open").groupBy("mh", "ch").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "p", "n")).alias("at"))
+    paths = shared.where("open").groupBy("mh", "ch").agg(F.sum("m").alias("c"), F.min(F.struct("k1", "k2", "p", "n")).alias("at"))
     paths = written(paths, "paths")
-    columns = ["k1", "k2", "p", "n", "mh", "ch"]
+    # A run of m repeats is a node of its own, as long as all of them.
+    run = F.when(F.col("m") > 1, F.xxhash64("ch", "m")).otherwise(F.col("ch")).alias("ch")
+    columns = ["k1", "k2", "p", (F.col("n") * F.col("m")).cast("int").alias("n"), "mh", run]
     several = shared.where("open").join(paths.where("c > 1").select("mh", "ch"), ["mh", "ch"])
     # Rows that repeat as a whole have one key: their fragments meet once, whatever their number.
     repeated = written(shared.where("not open").select(columns).unionByName(several.select(columns)).distinct(), "repeated")
@@ -296,6 +306,8 @@ def keyed_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, diges
     released(repeated, paths)
     sums = first.select(F.explode("sums").alias("s")).groupBy("s.mh", "s.ch", "s.n").agg((F.min("s.digest") != F.max("s.digest")).alias("differ"))
     if not sums.where("differ").isEmpty():  # equal hashes of different words
+        if seed == 3:
+            raise RuntimeError("different words have equal hashes under four seeds")
         return keyed_repeats(docs, window, kmer, digest, seed + 1)
     probes = first.where("probe is not null").select("k1", "k2", F.explode(F.arrays_zip("probe", "probe_mh", "probe_wh")).alias("w")).select("k1", "k2", F.col("w.probe").alias("p"), F.col("w.probe_mh").alias("mh"), F.col("w.probe_wh").alias("wh"))
     known = first.where("known_wh is not null").select(F.explode(F.arrays_zip("known_mh", "known_wh")).alias("w")).select(F.col("w.known_mh").alias("mh"), F.col("w.known_wh").alias("wh"), F.lit(2).alias("c"))
