@@ -45,3 +45,13 @@ def test_few_rows(spark):
 def test_pigeonhole():
     for radius in (0, 3, 8, 13, 20):
         assert sum(r + 1 for r in hamming.part_radii(radius)) == radius + 1
+
+
+def test_vectors_are_searched_among_their_own_length(spark):
+    draw = np.random.default_rng(7)
+    vectors = {i: draw.normal(size=8 if i < 150 else 5) for i in range(90, 260)}
+    found = hamming.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "vec_id long, embedding array<double>")).collect()
+    for q in (100, 200):
+        near = {r["vec_id"] for r in found if r["query_id"] == q}
+        same = {i: v for i, v in vectors.items() if len(v) == len(vectors[q])}
+        assert len(near) == 10 and len(near & {v for v, _ in brute(same, 100, 10)[q]}) >= 9
