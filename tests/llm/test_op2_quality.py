@@ -42,3 +42,11 @@ def test_without_labels_or_rows(spark):
     assert [r["score"] for r in quality.score(frame, none).collect()] == [1.0] * 3
     zero = quality.train(frame, spark.createDataFrame([(1, 0), (1, None)], "doc_id long, quality int"))
     assert {r["score"] for r in quality.score(frame, zero).collect()} == {0.0} and quality.score(frame.limit(0), zero).count() == 0
+
+
+def test_clashing_columns_and_repeated_ids(spark):
+    docs, labels = made(90)
+    frame = spark.createDataFrame([(i, t, "a", 1) for i, t in docs] + [(1, GOOD[0], "b", 2)] * 300, "doc_id long, text string, _text string, y int")
+    model = quality.train(frame, spark.createDataFrame(labels, "doc_id long, quality int"))
+    found = quality.score(frame, model).collect()
+    assert len(found) == 390 and {r["_text"] for r in found} == {"a", "b"} and all(0 <= r["score"] <= 1 for r in found)

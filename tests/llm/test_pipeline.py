@@ -53,3 +53,18 @@ def test_only_linked_rows_drop(spark):
     of_e = [x for x in out if x[0] is None and x[1].startswith(e)]
     assert len(of_e) == 1
     assert [x for x in out if x not in of_e] == sorted([(1, a), (1, b), (3, c), (None, d), (4, None), (4, ""), (4, "")], key=str)
+
+
+def test_empty_tables_and_clashing_names(spark, tmp_path):
+    """Tables without rows go through all stages; so do further columns named like those used inside."""
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, schema in (("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    out = docs
+    for name, stage in corpus_pipeline.STAGES:
+        out = corpus_pipeline.written(stage(spark, out, str(tmp_path)), name)
+        assert out.count() == 0 and (name == "packing" or out.columns == corpus_pipeline.COLUMNS)
+    one = spark.createDataFrame([(1, "some words here", "en", "s", 15, 1, 2, 3, "x")], "doc_id long, text string, lang string, source string, n_chars long, k1 int, _k1 int, linked int, kept string")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, one, str(tmp_path)).collect()
+        assert len(found) == 1 and found[0]["text"] == "some words here", name

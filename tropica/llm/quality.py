@@ -178,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
 
     # At most 8 matrices of fixed size meet in one task, and one comes to the driver.
     parts = sample.select("text").mapInArrow(contexts, "total binary").repartition(1).mapInArrow(gather, "words binary")
-    words = np.frombuffer(parts.first()["words"], dtype=np.float32).reshape(BUCKETS, WORD_DIMS)
+    words = np.frombuffer(parts.collect()[0]["words"], dtype=np.float32).reshape(BUCKETS, WORD_DIMS)
 
     def describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,7 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
 
     # `most` rows of fixed size at most: fitted in one task, so that the driver holds the network alone.
     fitted = sample.select("doc_id", "y", "text").mapInArrow(describe, "doc_id long, y double, f binary").repartition(1).mapInArrow(learn, "found binary")
-    found = pickle.loads(bytes(fitted.first()["found"]))
+    found = pickle.loads(bytes(fitted.collect()[0]["found"]))
     return Model(words, shape_index, found) if isinstance(found, Network) else Model(words, shape_index, None, found)
 
 
