@@ -38,6 +38,20 @@ def test_chunk_size_does_not_matter():
     assert len({tuple(c) for c in counts.values()}) == 1
 
 
+def test_maps_of_long_words_compose(monkeypatch):
+    draw, machine = random.Random(3), transducer.counter(VOCABULARY).transducer
+    words = ["x" * 900, "ab" * 400, "1" * 300, "".join(draw.choice("etaoinsh") for _ in range(2000)), "aaab" * 211, "a" * 129]
+    data = np.frombuffer("".join(words).encode(), dtype=np.uint8)
+    starts = np.zeros(len(data), dtype=bool)
+    starts[np.cumsum([0, *map(len, words)])[:-1]] = True
+    want = sum(truth([w])[0] for w in words if not w.isdigit()) + machine.count(data[:300] * 0 + 49, np.arange(300) == 0, np.array([300]), 10_000)[0]
+    for guesses in (1, 2, 64):
+        monkeypatch.setattr(transducer, "GUESSES", guesses)
+        for chunk in (1, 3, 64, 10_000):
+            assert machine.count(data, starts, np.array([len(data)]), chunk).tolist() == [want]
+            assert machine.count(data, starts, np.array([1700, 0, len(data) - 1700]), chunk).sum() == want
+
+
 def test_rows(spark):
     texts = [(1, "Hello World"), (1, "Hello World"), (2, None), (None, ""), (3, "straße " * 3000)]
     found = transducer.count_tokens(spark.createDataFrame([(*t, 0) for t in texts], "doc_id long, text string, n_tokens int")).collect()

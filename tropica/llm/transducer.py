@@ -6,7 +6,8 @@ encoding up to there; a transition is annotated with the number of tokens that i
 tokens back), and a state with what the word's end adds. Word starts reset the state.
 
 Texts are cut into chunks of equal size. A chunk's state map is constant from its first word start on, and before that
-a walk over its head; all chunks are run side by side, and a scan over the maps of each text composes them.
+a walk over its head; all chunks are run side by side. Where a word runs over several chunks, their maps are found for
+all states that can reach them, each chunk on its own, and a scan composes maps of 1, 2, 4, ... chunks.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ MOST_STATES = 120_000
 #: Up to here Python lower-cases and normalises as the library does; texts with later characters pass through it.
 PLAIN = "ɏ"
 GROUP_CHARS = 2_000_000
+#: Rounds in which every state that a map hands on is followed; the few maps not closed by then go on from true states.
+GUESSES = 64
 
 
 class Transducer:
@@ -158,6 +161,48 @@ class Transducer:
         back[order] = np.arange(len(order))
         return state[back], count[back]
 
+    def compose(self, columns: np.ndarray, starts: np.ndarray, begin: np.ndarray, first: np.ndarray, end: np.ndarray, state: np.ndarray, total: np.ndarray, known: np.ndarray, chained: np.ndarray) -> None:
+        """Adds the heads of chained chunks, whose words began two chunks before or earlier, to total and state.
+
+        A map is a set of entries (chunk, state before) with the state after and the tokens counted. Guesses start every
+        chunk at once, and each state that a chunk may hand on becomes an entry of the next, until the maps are closed:
+        walks meet soon, whatever they began with. Entries then point at entries of the next chunk, and pointers double."""
+        if not chained.any():
+            return
+        chunks = np.flatnonzero(chained)
+        chained = np.append(chained, False)
+        opening = chunks[known[chunks - 1]]  # the state before is known here
+        entry = lambda chunk, at: chunk << 32 | at
+        true = entry(opening, state[opening - 1])
+        keys = after = added = np.empty(0, dtype=np.int64)
+        new, rounds = np.unique(np.concatenate([true, entry(chunks[~known[chunks - 1]], 0)])), 0
+        while True:
+            while len(new):
+                at = new >> 32
+                to, n = self.walk(columns, starts, begin[at], (first - begin)[at], new & 0xFFFFFFFF)
+                n += np.where(first[at] < end[at], self.ends[to], 0)
+                order = np.argsort(np.concatenate([keys, new]), kind="stable")
+                keys, after, added = (np.concatenate(c)[order] for c in ((keys, new), (after, to), (added, n)))
+                rounds += 1
+                on = entry(at + 1, to)[chained[at + 1]]
+                new = np.setdiff1d(on, keys) if rounds < GUESSES else new[:0]
+            at = keys >> 32
+            wanted = entry(at + 1, after)
+            place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            open_, own = chained[at + 1], np.arange(len(keys))
+            linked = open_ & (keys[place] == wanted)
+            to, tokens = np.where(linked, place, own), np.where(linked, added, 0)
+            while (to != to[to]).any():
+                tokens, to = tokens + tokens[to], to[to]
+            mine = np.searchsorted(keys, true)
+            last = to[mine]
+            new = np.unique(wanted[last][open_[last]])  # maps that did not close within the rounds: on from the true states alone
+            if not len(new):
+                break
+        total[opening] += (tokens + added[to])[mine]
+        whole = first[at[last]] == end[at[last]]
+        state[at[last][whole]] = after[last][whole]
+
     def count(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
         """Tokens of each of several byte strings that follow one another in data; starts marks where their words begin."""
         if len(self.states) > MOST_STATES or len(self.fits) > 3 * MOST_STATES:
@@ -177,19 +222,16 @@ class Transducer:
         # From the first word start on, a chunk's map is constant.
         state, total = self.walk(columns, starts, first, end - first, np.zeros(len(text), dtype=np.int64))
         known = (first < end) | (k == 0)
-        # Heads: composed from left to right, all texts at once; a round goes one further through chunks of one word.
-        todo = np.flatnonzero(k > 0)
-        while len(todo):
-            ready = todo[known[todo - 1]]
-            came = state[ready - 1]
-            came, added = self.walk(columns, starts, begin[ready], (first - begin)[ready], came)
-            total[ready] += added
-            inner = first[ready] < end[ready]
-            total[ready[inner]] += self.ends[came[inner]]
-            state[ready[~inner]] = came[~inner]
-            was = known[todo - 1]
-            known[ready] = True
-            todo = todo[~was]
+        # Heads after a chunk whose last state is known; then words over several chunks, by composed maps.
+        later = k > 0
+        before = np.concatenate([[False], known[:-1]])
+        ready = np.flatnonzero(later & before)
+        came, added = self.walk(columns, starts, begin[ready], (first - begin)[ready], state[ready - 1])
+        inner = first[ready] < end[ready]
+        total[ready] += added + np.where(inner, self.ends[came], 0)
+        state[ready[~inner]] = came[~inner]
+        known[ready] = True
+        self.compose(columns, starts, begin, first, end, state, total, known, later & ~before)
         out = np.zeros(len(sizes), dtype=np.int64)
         np.add.at(out, text, total)
         closing = np.flatnonzero(sizes > 0)
