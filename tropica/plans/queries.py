@@ -12,23 +12,11 @@ from tropica.functions import semiring as s
 from tropica.operators import communities, cores, dnn, graphlets, ranking, traversal, triangles
 from tropica.sources.tables import co_purchase, customer_suppliers, user_transitions
 
-BULK = 45
-
 
 def parts(spark: SparkSession, d: str) -> graph.Graph:
     return co_purchase(spark, d)
 
 
-def bulk(spark: SparkSession, d: str) -> graph.Graph:
-    return co_purchase(spark, d, BULK)
-
-
-def rare(spark: SparkSession, d: str) -> graph.Graph:
-    """Transitions that happened once."""
-    t = user_transitions(spark, d)
-    return graph.Graph(t.edges.where("w = 1"), t.vertices)
-
-
 def least_ids(g: graph.Graph, k: int) -> list[int]:
     return [r["id"] for r in g.vertices.orderBy("id").limit(k).collect()]
 
@@ -94,8 +82,6 @@ def _assigned(g: graph.Graph) -> DataFrame:
     return s.accumulate(_vector(g), g.out_degree().where("degree > 5").select("id", F.col("degree").alias("x")), ["id"], "x", None, mask)
 
 
-#: Each is registered twice: by its name on a part of the graph, which its SQL has too (bulk lines; transitions that
-#: happened once), and as name_whole on all of it.
 _ON_PARTS: dict[str, Callable[[graph.Graph], DataFrame]] = {
     "mxm_plus_pair_masked": lambda g: s.mxm(g.edges, g.edges, "plus_pair", mask=g.edges),
     "mxm_plus_times": lambda g: s.mxm(g.edges, g.edges, "plus_times"),
@@ -150,15 +136,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "triangle_centrality": _on(p, lambda g: _rounded(triangles.triangle_centrality(g)[0], "centrality")),
         "dnn_2layer": _dnn,
     }
-    for run, part, whole in ((_ON_PARTS, bulk, parts), (_ON_MOVES, rare, user_transitions)):
-        found |= {name: _on(part, of) for name, of in run.items()} | {f"{name}_whole": _on(whole, of) for name, of in run.items()}
-    return found
+    return found | {name: _on(p, of) for name, of in _ON_PARTS.items()} | {name: _on(t, of) for name, of in _ON_MOVES.items()}
 
 
-P_SQL = "l as (select distinct l_orderkey as o, l_partkey as p from lineitem{}), e as materialized (select a.p as src, b.p as dst, count(*)::bigint as w from l a join l b on a.o = b.o and a.p <> b.p group by all), v as (select distinct src as id from e)"
-PARTS, BULK_SQL = P_SQL.format(""), P_SQL.format(f" where l_quantity >= {BULK}")
+PARTS = "l as (select distinct l_orderkey as o, l_partkey as p from lineitem), e as materialized (select a.p as src, b.p as dst, count(*)::bigint as w from l a join l b on a.o = b.o and a.p <> b.p group by all), v as (select distinct src as id from e)"
 MOVES = "x as (select user_id as u, lead(user_id) over (order by ts, event_id) as n from events), e as materialized (select u as src, n as dst, count(*)::bigint as w from x where n is not null and u <> n group by all), v as (select src as id from e union select dst from e), y as (select id, id % 7 + 1 as x from v)"
-RARE = MOVES.replace(" as materialized (select u", "0 as (select u").replace(", v as (select src as id from e union select dst from e)", ", e as materialized (select * from e0 where w = 1), v as (select src as id from e0 union select dst from e0)").replace("e0 as (select u", "e0 as (select u")
 TRI = "o as (select src, dst from e where src < dst), tri as materialized (select a.src as a, a.dst as b, b.dst as c from o a join o b on a.dst = b.src join o c on c.src = a.src and c.dst = b.dst)"
 SUP = TRI + ", corner as (select unnest([{'s': a, 'd': b}, {'s': b, 'd': a}, {'s': a, 'd': c}, {'s': c, 'd': a}, {'s': b, 'd': c}, {'s': c, 'd': b}], recursive := true) from tri), sup as materialized (select s as src, d as dst, count(*)::bigint as w from corner group by all)"
 
@@ -175,7 +157,7 @@ def _cdlp(rounds: int = 10) -> str:
     ctes = ["l0 as (select id, id as label from v)"]
     for k in range(1, rounds + 1):
         ctes.append(f"l{k} as materialized (select id, label from (select e.src as id, p.label, row_number() over (partition by e.src order by count(*) desc, p.label) as r from e join l{k - 1} p on p.id = e.dst group by 1, 2) where r = 1)")
-    return f"with {BULK_SQL}, {', '.join(ctes)} select id, label from l{rounds}"
+    return f"with {PARTS}, {', '.join(ctes)} select id, label from l{rounds}"
 
 
 def _cores(rounds: int = 40) -> str:
@@ -183,18 +165,20 @@ def _cores(rounds: int = 40) -> str:
     ctes = ["c0 as (select src as id, count(*) as c from e group by 1)"]
     for k in range(1, rounds + 1):
         ctes.append(f"c{k} as materialized (select id, max(least(r, c)) as c from (select e.src as id, p.c, row_number() over (partition by e.src order by p.c desc) as r from e join c{k - 1} p on p.id = e.dst) group by 1)")
-    return f"{BULK_SQL}, {', '.join(ctes)}, core as (select id, c::bigint as core from c{rounds})"
+    return f"{PARTS}, {', '.join(ctes)}, core as (select id, c::bigint as core from c{rounds})"
 
 
-def _truss(k: int, rounds: int, name: str, source: str) -> str:
-    ctes = [f"{name}0 as (select src, dst from {source})"]
+def _truss(k: int, rounds: int = 12) -> str:
+    """Edges in too few triangles go, then the triangles that had one of them, and so on."""
+    ctes = ["t0 as (select * from tri)"]
     for i in range(1, rounds + 1):
-        ctes.append(f"{name}{i} as materialized (select a.src, a.dst, count(*)::bigint as w from {name}{i - 1} a join {name}{i - 1} b on a.src = b.src join {name}{i - 1} c on c.src = a.dst and c.dst = b.dst group by 1, 2 having count(*) >= {k - 2})")
-    return ", ".join(ctes)
+        ctes.append(f"k{i} as materialized (select src, dst, count(*)::bigint as w from (select a as src, b as dst from t{i - 1} union all select a, c from t{i - 1} union all select b, c from t{i - 1}) group by all having count(*) >= {k - 2})")
+        ctes.append(f"t{i} as materialized (select t.* from t{i - 1} t semi join k{i} x on x.src = a and x.dst = b semi join k{i} y on y.src = a and y.dst = c semi join k{i} z on z.src = b and z.dst = c)")
+    return f"with {PARTS}, {TRI}, {', '.join(ctes)} select * from k{rounds} union all select dst, src, w from k{rounds}"
 
 
 def _betweenness() -> str:
-    return f"""with recursive {BULK_SQL}, s as (select id from v order by id limit 4),
+    return f"""with recursive {PARTS}, s as (select id from v order by id limit 4),
 d(s, id, l) using key (s, id) as (select id, id, 0 from s union select c.s, e.dst, min(c.l + 1) from d c join e on e.src = c.id left join recurring.d r on r.s = c.s and r.id = e.dst where r.l is null or c.l + 1 < r.l group by 1, 2),
 p(s, id, l, n) as (select id, id, 0, 1::double from s union all select p.s, e.dst, p.l + 1, sum(p.n) from p join e on e.src = p.id join d on d.s = p.s and d.id = e.dst and d.l = p.l + 1 group by 1, 2, 3),
 b(s, id, l, n, x) as (select s, id, l, n, 0::double from p where l = (select max(l) from p)
@@ -206,7 +190,7 @@ SQL_NET = ", ".join("(" + " + ".join(f"({c}) * d{i}" for i, c in row.items()) +
 
 
 def oracle_sql() -> dict[str, str]:
-    t, p, q, r = (f"with recursive {g}" for g in (MOVES, PARTS, BULK_SQL, RARE))
+    t, p = (f"with recursive {g}" for g in (MOVES, PARTS))
     labels = "c(v, l) using key (v) as (select id, id from v union select e.dst, min(c.l) from c join e on e.src = c.v join recurring.c r on r.v = e.dst where c.l < r.l group by e.dst)"
     source = "(select min(id) from v)"
     levels = f"d(id, l) using key (id) as (select {source}, 0::bigint union select e.dst, min(c.l + 1) from d c join e on e.src = c.id left join recurring.d r on r.id = e.dst where r.l is null or c.l + 1 < r.l group by 1)"
@@ -226,38 +210,37 @@ def oracle_sql() -> dict[str, str]:
         "sort_by_degree": f"{p}, g as (select src as id, count(*)::bigint as degree from e group by 1) select id, degree, row_number() over (order by degree, id) - 1 as position from g",
         "mxv_plus_second": f"{t} select src as id, sum(x)::bigint as x from e join y on y.id = dst group by 1",
         "vxm_min_plus": f"{t} select dst as id, min(x + w)::bigint as x from e join y on y.id = src group by 1",
-        "mxm_plus_pair_masked": f"{q} select a.src, b.dst, count(*)::bigint as w from e a join e b on a.dst = b.src semi join e m on m.src = a.src and m.dst = b.dst group by 1, 2",
-        "mxm_plus_times": f"{q} select a.src, b.dst, sum(a.w * b.w)::bigint as w from e a join e b on a.dst = b.src group by 1, 2",
+        "mxm_plus_pair_masked": f"{p} select a.src, b.dst, count(*)::bigint as w from e a join e b on a.dst = b.src semi join e m on m.src = a.src and m.dst = b.dst group by 1, 2",
+        "mxm_plus_times": f"{p} select a.src, b.dst, sum(a.w * b.w)::bigint as w from e a join e b on a.dst = b.src group by 1, 2",
         "ewise_add_union": f"{t} select src, dst, sum(w)::bigint as w from (select * from e union all select dst, src, w from e) group by 1, 2",
         "ewise_mult_intersect": f"{t} select a.src, a.dst, (a.w * b.w)::bigint as w from e a join e b on a.src = b.dst and a.dst = b.src",
         "select_tril": f"{t} select src, dst, w from e where dst <= src - 1",
         "reduce_rows": f"{t} select src as id, sum(w)::bigint as x from e group by 1",
-        "extract_gather": f"{q}, g as (select src as id, row_number() over (order by count(*), src) - 1 as k from e group by src) select a.k as src, b.k as dst, w from e join g a on a.id = e.src join g b on b.id = e.dst",
-        "assign_masked": f"{q}, g as (select src as id, count(*) as d from e group by 1) select id, case when d > 5 then d else id % 7 + 1 end::bigint as x from g",
-        "bfs": f"{q}, {levels} select a.id, a.l as level, coalesce((select min(e.src) from e join d b on b.id = e.src where e.dst = a.id and b.l = a.l - 1), a.id) as parent from d a",
-        "cc_min_label": f"{q}, {labels} select v as id, l as component from c",
-        "sssp_distance": f"{q}, {lengths} select v.id, coalesce(d.l, {2**63 - 1}) as distance from v left join d using (id)",
+        "extract_gather": f"{p}, g as (select src as id, row_number() over (order by count(*), src) - 1 as k from e group by src) select a.k as src, b.k as dst, w from e join g a on a.id = e.src join g b on b.id = e.dst",
+        "assign_masked": f"{p}, g as (select src as id, count(*) as d from e group by 1) select id, case when d > 5 then d else id % 7 + 1 end::bigint as x from g",
+        "bfs": f"{p}, {levels} select a.id, a.l as level, coalesce((select min(e.src) from e join d b on b.id = e.src where e.dst = a.id and b.l = a.l - 1), a.id) as parent from d a",
+        "cc_min_label": f"{p}, {labels} select v as id, l as component from c",
+        "sssp_distance": f"{p}, {lengths} select v.id, coalesce(d.l, {2**63 - 1}) as distance from v left join d using (id)",
         "bellman_ford": f"{t}, {lengths}, z as materialized (select e.src, e.dst from e join d a on a.id = e.src join d b on b.id = e.dst where a.l + e.w = b.l), h(id, h) using key (id) as (select {source}, 0::bigint union select z.dst, min(c.h + 1) from h c join z on z.src = c.id left join recurring.h r on r.id = z.dst where r.h is null or c.h + 1 < r.h group by 1) select d.id, d.l::double as d, h.h, coalesce((select min(z.src) + 1 from z join h b on b.id = z.src where z.dst = d.id and b.h = h.h - 1), 0) as pi from d join h using (id)",
         "pagerank_20": _pagerank(MOVES, True),
-        "pagerank_gap_20": _pagerank(BULK_SQL, False),
+        "pagerank_gap_20": _pagerank(PARTS, False),
         "betweenness_4": _betweenness(),
         **{f"tc_{m}": tc for m in ("auto", *triangles.METHODS)},
         "triangles_per_vertex": f"{p}, {TRI} select unnest([a, b, c]) as id, count(*)::bigint as triangles from tri group by 1",
-        "edge_support": f"{q}, {SUP} select * from sup",
-        "ktruss_4": f"{q}, {_truss(4, 8, 't', 'e')} select * from t8",
-        "all_ktruss": f"{q}, {_truss(3, 8, 't', 'e')}, {_truss(4, 8, 'u', 't8')}, {_truss(5, 8, 'x', 'u8')}, {_truss(6, 8, 'y', 'x8')}, {_truss(7, 8, 'z', 'y8')}, s as (select 3 as k, * from t8 union all select 4, * from u8 union all select 5, * from x8 union all select 6, * from y8 union all select 7, * from z8), c as (select k::bigint as k, coalesce(sum(w), 0)::bigint // 6 as ntris, count(w)::bigint // 2 as nedges from (select unnest([3, 4, 5, 6, 7]) as k) left join s using (k) group by 1) select * from c where k <= (select min(k) from c where nedges = 0)",
+        "edge_support": f"{p}, {SUP} select * from sup",
+        "ktruss_4": _truss(4),
         "kcore_all": f"with {_cores()} select id, core from core",
         "kcore_3": f"with {_cores()} select id, 3::bigint as core from core where core >= 3",
         "kcore_subgraph_3": f"with {_cores()} select src, dst, 1::bigint as w from e where src in (select id from core where core >= 3) and dst in (select id from core where core >= 3)",
         "cdlp_10": _cdlp(),
         "lcc_undirected": f"{p}, {clustering} select id, round(2.0 * count(*) / (d * (d - 1)), 6) as lcc from k join deg using (id) group by id, d",
-        "lcc_directed": f"{r}, {both}, deg as (select src as id, count(*) as d from m group by 1) select a.src as id, round(sum(c.m) / 2.0 / (any_value(d) * (any_value(d) - 1)), 6) as lcc from m a join m b on a.src = b.src and a.dst <> b.dst join m c on c.src = a.dst and c.dst = b.dst join deg on deg.id = a.src group by 1",
+        "lcc_directed": f"{t}, {both}, deg as (select src as id, count(*) as d from m group by 1) select a.src as id, round(sum(c.m) / 2.0 / (any_value(d) * (any_value(d) - 1)), 6) as lcc from m a join m b on a.src = b.src and a.dst <> b.dst join m c on c.src = a.dst and c.dst = b.dst join deg on deg.id = a.src group by 1",
         "triangle_centrality": f"{p}, {SUP}, yy as (select src as id, sum(w)::double as y from sup group by 1), na as (select src as id, sum(y) as a from e join yy on yy.id = dst group by 1), nt as (select src as id, sum(y) as a from sup join yy on yy.id = dst group by 1) select v.id, round((3 * coalesce(na.a, 0) - 2 * coalesce(nt.a, 0) + coalesce(y, 0)) / (select sum(y) from yy), 6) as centrality from v left join na using (id) left join nt using (id) left join yy using (id)",
         "mis_valid": "select 0::bigint as violations, 0::bigint as uncovered",
-        "msf_weight_size": f"{q}, ts as (select distinct w as t from e union select 0), c(t, v, l) using key (t, v) as (select t, id, id from ts, v union select c.t, e.dst, min(c.l) from c join e on e.src = c.v and e.w <= c.t join recurring.c r on r.t = c.t and r.v = e.dst where c.l < r.l group by 1, 2), k as (select t, count(distinct l) as n from c group by 1), d as (select t, n, lag(n) over (order by t) - n as joined from k) select sum(t * joined)::bigint as weight, sum(joined)::bigint as size from d",
-        "scc_min_id": f"{r}, f(a, b) as (select id, id from v union select f.a, e.dst from f join e on e.src = f.b) select x.a as id, min(x.b) as component from f x join f y on x.a = y.b and x.b = y.a group by 1",
-        "square_clustering": f"{q}, p2 as materialized (select a.src as u, b.dst as v, count(*) as p from e a join e b on a.dst = b.src where a.src <> b.dst group by 1, 2), sq as (select u as id, sum(p * (p - 1) // 2) as s from p2 group by 1), deg as (select src as id, count(*) as d from e group by 1), na as (select src as id, sum(d) as a from e join deg on deg.id = dst group by 1), tr as (select u as id, sum(p) as t from p2 join e on e.src = u and e.dst = v group by 1) select sq.id, round((s / (a * (d - 1) - d * (d - 1) - coalesce(t, 0) - s))::double, 6) as c from sq join deg using (id) join na using (id) left join tr using (id) where s > 0",
-        "graphlets": f"""{q}, {SUP}, p2 as materialized (select a.src as u, b.dst as v, count(*) as c from e a join e b on a.dst = b.src where a.src <> b.dst group by 1, 2), dg as (select src as id, count(*) as p from e group by 1), tv as (select src as id, sum(w) / 2 as t, sum(w * (w - 1)) / 2 as d14 from sup group by 1),
+        "msf_weight_size": f"{p}, ts as (select distinct w as t from e union select 0), c(t, v, l) using key (t, v) as (select t, id, id from ts, v union select c.t, e.dst, min(c.l) from c join e on e.src = c.v and e.w <= c.t join recurring.c r on r.t = c.t and r.v = e.dst where c.l < r.l group by 1, 2), k as (select t, count(distinct l) as n from c group by 1), d as (select t, n, lag(n) over (order by t) - n as joined from k) select sum(t * joined)::bigint as weight, sum(joined)::bigint as size from d",
+        "scc_min_id": f"{t}, f(a, b) as (select id, id from v union select f.a, e.dst from f join e on e.src = f.b) select x.a as id, min(x.b) as component from f x join f y on x.a = y.b and x.b = y.a group by 1",
+        "square_clustering": f"{p}, p2 as materialized (select a.src as u, b.dst as v, count(*) as p from e a join e b on a.dst = b.src where a.src <> b.dst group by 1, 2), sq as (select u as id, sum(p * (p - 1) // 2) as s from p2 group by 1), deg as (select src as id, count(*) as d from e group by 1), na as (select src as id, sum(d) as a from e join deg on deg.id = dst group by 1), tr as (select u as id, sum(p) as t from p2 join e on e.src = u and e.dst = v group by 1) select sq.id, round((s / (a * (d - 1) - d * (d - 1) - coalesce(t, 0) - s))::double, 6) as c from sq join deg using (id) join na using (id) left join tr using (id) where s > 0",
+        "graphlets": f"""{p}, {SUP}, p2 as materialized (select a.src as u, b.dst as v, count(*) as c from e a join e b on a.dst = b.src where a.src <> b.dst group by 1, 2), dg as (select src as id, count(*) as p from e group by 1), tv as (select src as id, sum(w) / 2 as t, sum(w * (w - 1)) / 2 as d14 from sup group by 1),
 b as materialized (select v.id, p, coalesce(t, 0) as t, coalesce(d14, 0) as d14 from v join dg using (id) left join tv using (id)), n1 as materialized (select e.src as id, sum(p) as ap, sum((p - 1) * (p - 2)) / 2 as d7, sum(t) as nt from e join b on b.id = e.dst group by 1), n2 as (select e.src as id, sum(ap - p) as ad2 from e join b on b.id = e.dst join n1 on n1.id = e.dst group by 1),
 x10 as (select sup.src as id, sum(w * (p - 2)) as d10 from sup join b on b.id = sup.dst group by 1), x12 as (select u as id, sum(c * (c - 1)) / 2 as d12 from p2 group by 1), x13 as (select e.src as id, sum(sup.w - 1) / 2 as d13 from e join sup on sup.src = e.dst join e k on k.src = e.src and k.dst = sup.dst group by 1),
 k4 as (select t.a, t.b, t.c, x.c as d from tri t join tri x on t.a = x.a and t.b = x.b and t.c < x.c join o on o.src = t.c and o.dst = x.c), x15 as (select id, count(*) as k from (select unnest([a, b, c, d]) as id from k4) group by 1),

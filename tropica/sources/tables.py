@@ -10,11 +10,9 @@ from tropica.graph import Graph
 from tropica.plans.fixpoint import written
 
 
-def co_purchase(spark: SparkSession, sf_dir: str, least_quantity: float | None = None) -> Graph:
-    """Parts that were ordered together; w counts the orders. With least_quantity only bulk lines count."""
+def co_purchase(spark: SparkSession, sf_dir: str) -> Graph:
+    """Parts that were ordered together; w counts the orders."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    if least_quantity is not None:
-        lines = lines.where(F.col("l_quantity") >= least_quantity)
     pairs = lines.select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p")).distinct()
     both = pairs.alias("a").join(pairs.alias("b"), (F.col("a.o") == F.col("b.o")) & (F.col("a.p") != F.col("b.p")))
     edges = both.groupBy(F.col("a.p").alias("src"), F.col("b.p").alias("dst")).agg(F.count("*").alias("w"))
