@@ -58,3 +58,21 @@ def test_blocks_are_told_apart(spark):
     assert len(placed) == 7 and len({r["p"] for r in placed}) == 7
     sizes = Counter(r["_b"] for r in df.select(cut.of("src").alias("_b")).collect())
     assert max(sizes.values()) <= 90
+
+
+def test_products_in_blocks(spark, mesh, monkeypatch):
+    from tropica.functions import semiring as s
+
+    monkeypatch.setattr(s, "BLOCK_ENTRIES", 40)
+    monkeypatch.setattr(s, "MASKED_ENTRIES", 40)
+    rows = {(r["src"], r["dst"]): r["w"] for r in mesh.edges.collect()}
+    want = Counter()
+    for (i, k), x in rows.items():
+        for j in (b for a, b in rows if a == k):
+            want[i, j] += x * rows[k, j]
+    found = lambda **how: {(r["src"], r["dst"]): r["w"] for r in s.mxm(mesh.edges, mesh.edges, "plus_times", **how).collect()}
+    assert found() == dict(want)
+    assert found(mask=mesh.edges) == {e: w for e, w in want.items() if e in rows}
+    assert found(mask=mesh.edges, complement=True) == {e: w for e, w in want.items() if e not in rows}
+    plan = s.mxm(mesh.edges, mesh.edges, "plus_times")
+    assert "ShuffledHashJoin" in plan._jdf.queryExecution().executedPlan().toString()  # products are summed where they arise
