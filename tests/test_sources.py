@@ -93,3 +93,12 @@ def test_sampled_degrees(spark):
     assert random_graph.sample_degree(cover, True, 5, 123456) == (1.4, 1) and random_graph.sample_degree(cover, False, 5, 123456) == (2.4, 3)
     assert not random_graph.prefers_presort(karate)
     assert isinstance(karate, Graph)
+
+
+def test_parts_are_read_in_order_whatever_their_sizes(spark, tmp_path):
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "part-00000.txt").write_text("%%MatrixMarket matrix array integer general\n20 3\n")
+    (tmp_path / "m" / "part-00001.txt").write_text("".join(f"{i}\n" for i in range(20)))
+    (tmp_path / "m" / "part-00002.txt").write_text("".join(f"{i}\n" for i in range(20, 60)))
+    found = mtx.read_matrix(spark, str(tmp_path / "m")).entries
+    assert {(r["src"], r["dst"]): r["w"] for r in found.collect()} == {(i % 20, i // 20): i for i in range(60)}

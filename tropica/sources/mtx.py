@@ -86,7 +86,9 @@ def read_matrix(spark: SparkSession, path: str) -> Matrix:
 
     Only the lines up to the sizes come to the driver. Entries out of range, repeated pairs and a wrong number of
     entries are errors; complex and hermitian matrices are not supported."""
-    numbered = positions(spark.read.text(path).select("value", F.monotonically_increasing_id().alias("_at")), [F.col("_at")])
+    # Spark reads the largest parts first: lines are in order by part and place, not by task.
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_from"), F.monotonically_increasing_id().alias("_at"))
+    numbered = positions(lines, [F.col("_file"), F.col("_from"), F.col("_at")]).select("value", "position")
     first, most = [], 64
     while True:  # comments may be long: look further until the sizes are there
         first = [r["value"] for r in numbered.where(F.col("position") < most).orderBy("position").collect()]
