@@ -76,3 +76,21 @@ def test_products_in_blocks(spark, mesh, monkeypatch):
     assert found(mask=mesh.edges, complement=True) == {e: w for e, w in want.items() if e not in rows}
     plan = s.mxm(mesh.edges, mesh.edges, "plus_times")
     assert "ShuffledHashJoin" in plan._jdf.queryExecution().executedPlan().toString()  # products are summed where they arise
+
+
+def test_rounds_in_blocks(tiny, spark, mesh, pairs, monkeypatch):
+    from tropica.operators import communities, cores, ranking
+
+    ids = {i for p in pairs for i in p}
+    near = {i: [a if b == i else b for a, b in pairs if i in (a, b)] for i in ids}
+    rank, label, core = dict.fromkeys(ids, 1 / len(ids)), {i: i for i in ids}, {i: len(near[i]) for i in ids}
+    for _ in range(3):
+        rank = {i: 0.15 / len(ids) + 0.85 * sum(rank[j] / len(near[j]) for j in near[i]) for i in ids}
+        seen = {i: Counter(label[j] for j in near[i]) for i in ids}
+        label = {i: min(seen[i], key=lambda x: (-seen[i][x], x)) for i in ids}
+    for _ in ids:
+        core = {i: max(min(k + 1, c) for k, c in enumerate(sorted((core[j] for j in near[i]), reverse=True))) for i in ids}
+    found = {r["id"]: r["rank"] for r in ranking.pagerank(mesh, fixed=3, sinks=False)[0].collect()}
+    assert found.keys() == rank.keys() and max(abs(found[i] - rank[i]) for i in ids) < 1e-9
+    assert {r["id"]: r["label"] for r in communities.cdlp(mesh, 3)[0].collect()} == label
+    assert {r["id"]: r["core"] for r in cores.kcore_all(mesh)[0].collect()} == core
