@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from tropica.errors import InvalidValue
 from tropica.graph import Graph
-from tropica.plans.blocks import Blocks, tasks_for
+from tropica.plans.blocks import Grid, tasks_for
 from tropica.plans.fixpoint import released, where_placed, written
 
 
 #: Entries of the lists in which one task looks up others.
-LIST_ENTRIES = 8_000_000
+LIST_ENTRIES = 16_000_000
 
 
 def oriented(edges: DataFrame, presort: bool = True) -> DataFrame:
@@ -29,25 +29,37 @@ def oriented(edges: DataFrame, presort: bool = True) -> DataFrame:
     return half.select(F.when(F.expr("d <= e"), F.col("src")).otherwise(F.col("dst")).alias("src"), F.when(F.expr("d <= e"), F.col("dst")).otherwise(F.col("src")).alias("dst"))
 
 
+#: Where ids alone leave no more pairs of successors than this for an edge, ordering by degree isn't worth its joins.
+PAIRS_PER_EDGE = 200
+
+
 def successors(edges: DataFrame) -> DataFrame:
     """(src, upper): each vertex with its neighbours in the oriented graph, as a table."""
-    return written(oriented(edges).groupBy("src").agg(F.collect_list("dst").alias("upper")), "lists")
+    after = edges.where("src < dst").groupBy("src").agg(F.count("*").alias("d"))
+    work = after.agg(F.sum(F.col("d").cast("double") * F.col("d")) / F.sum("d")).first()[0] or 0
+    return written(oriented(edges, work > PAIRS_PER_EDGE).groupBy("src").agg(F.collect_list("dst").alias("upper")), "lists")
 
 
 def meeting(lists: DataFrame, mask: str = "upper", left: str = "upper", right: str = "upper") -> DataFrame:
     """(src, dst, both) for src's entries dst in the list named mask: what src's left list and dst's right list share.
 
-    Lists of dst lie in blocks of ids. A vertex sends its own lists once to every block where it has an entry, not once
-    for each entry; plans of the result belong inside `where_placed`."""
+    The work lies in a grid, dst in ranges by what is shared in ranges. A right list goes there once, whatever the
+    grid; an entry of a mask goes to each column and one of a left list to each row, so that what is moved grows with the
+    square root of the number of tiles, wherever ids lie. A pair has a row for each column where both lists have
+    entries; plans of the result belong inside `where_placed`."""
     spark = lists.sparkSession
-    entries = lists.select("src", F.explode(right))
-    n = tasks_for(spark, entries.count(), LIST_ENTRIES)
-    blocks = Blocks.over(entries, "src", n)
-    there = blocks.spread(lists.where(F.size(right) > 0).select(F.col("src").alias("dst"), F.col(right).alias("_there"), blocks.of("src").alias("_b")))
-    to = F.array_distinct(F.transform(mask, blocks.of))
-    here = blocks.spread(lists.where((F.size(mask) > 0) & (F.size(left) > 0)).select("src", F.col(mask).alias("_mask"), F.col(left).alias("_left"), F.explode(to).alias("_b")))
-    wanted = here.select("src", "_left", "_b", F.explode(F.filter("_mask", lambda x: blocks.of(x) == F.col("_b"))).alias("dst"))
-    return wanted.join(there.hint("shuffle_hash"), ["_b", "dst"]).select("src", "dst", F.array_intersect("_left", "_there").alias("both"))
+    entries = lists.select("src", F.explode(right).alias("to"))
+    found = entries.agg(F.count("*"), F.min(F.least("src", "to")), F.max(F.greatest("src", "to"))).first()
+    grid = Grid.over((entries, "src"), (entries, "to"), tasks_for(spark, found[0], LIST_ENTRIES))
+    ends = lists.agg(F.min("src"), F.max("src"), F.min(F.array_min(left)), F.max(F.array_max(left)), F.min(F.array_min(mask)), F.max(F.array_max(mask))).first()
+    short = all(abs(x) < 1 << 31 for x in (*found[1:], *ends) if x is not None)
+    ids = lambda name: F.col(name).cast("array<int>") if short else F.col(name)
+    there = lists.select(F.col("src").alias("dst"), F.explode(grid.columns.cut(ids(right))).alias("_r"))
+    there = grid.spread(there.select(grid.of(grid.rows.place("dst"), F.col("_r.i")).alias("_b"), "dst", F.col("_r.ids").alias("_there")))
+    here = lists.select("src", grid.rows.cut(ids(mask)).alias("_m"), grid.columns.cut(ids(left)).alias("_l")).select("src", "_l", F.explode("_m").alias("_m")).select("src", "_m", F.explode("_l").alias("_l"))
+    here = grid.spread(here.select(grid.of(F.col("_m.i"), F.col("_l.i")).alias("_b"), "src", F.col("_m.ids").alias("_mask"), F.col("_l.ids").alias("_left")))
+    wanted = here.select("_b", "src", "_left", F.explode(F.col("_mask").cast("array<long>")).alias("dst"))
+    return wanted.join(there.hint("shuffle_hash"), ["_b", "dst"]).select("src", "dst", F.array_intersect("_left", "_there").cast("array<long>").alias("both"))
 
 
 def triangles(edges: DataFrame) -> DataFrame:
@@ -55,9 +67,9 @@ def triangles(edges: DataFrame) -> DataFrame:
     return meeting(successors(edges)).select(F.col("src").alias("a"), F.col("dst").alias("b"), F.explode("both").alias("c"))
 
 
-#: mask side, left neighbours, right neighbours, how often each triangle is counted
+#: mask side, left neighbours, right neighbours, how often each triangle is counted; of symmetric products half is taken
 METHODS = {
-    "burkhardt": ("both", "both", "both", 6), "cohen": ("both", "lower", "lower", 2), "sandia_ll": ("lower", "lower", "upper", 1),
+    "burkhardt": ("upper", "both", "both", 3), "cohen": ("upper", "lower", "lower", 1), "sandia_ll": ("lower", "lower", "upper", 1),
     "sandia_uu": ("upper", "upper", "lower", 1), "sandia_lut": ("lower", "lower", "upper", 1), "sandia_ult": ("upper", "upper", "lower", 1),
 }
 
