@@ -37,3 +37,19 @@ def test_lists_go_to_rows_and_columns_of_a_grid(spark, monkeypatch):
     assert here.agg(F.sum(F.size("_mask")) + F.sum(F.size("_left"))).first()[0] <= 8 * entries
     near = {r["src"]: set(r["upper"]) for r in lists.collect()}
     assert found.agg(F.sum(F.size("both"))).first()[0] == sum(len(near[a] & near.get(b, set())) for a in near for b in near[a])
+
+
+def test_squares_in_tiles(spark, monkeypatch):
+    from itertools import combinations
+
+    from tropica.operators import squares
+
+    monkeypatch.setattr(squares, "RANGE_ENTRIES", 150)
+    monkeypatch.setattr(squares, "PATHS_AT_ONCE", 60)  # several vertices at once, and hubs by pieces
+    ids = [(i * 7919) % 1009 for i in range(45)]
+    near = {i: {j for j in ids if i != j and ((i * j) % 7 < 2 or ids[0] in (i, j))} for i in ids}
+    want = {i: sum(c * (c - 1) // 2 for j in ids if i != j for c in [len(near[i] & near[j])]) for i in ids}
+    edges = spark.createDataFrame([(i, j) for i in ids for j in near[i]], "src long, dst long")
+    assert {r["id"]: r["squares"] for r in squares.squares(edges).collect()} == {i: n for i, n in want.items() if n}
+    clique = spark.createDataFrame([(i, j) for a, b in combinations(range(5), 2) for i, j in ((a, b), (b, a))], "src long, dst long")
+    assert {r["id"]: r["squares"] for r in squares.squares(clique).collect()} == dict.fromkeys(range(5), 12)
