@@ -53,3 +53,32 @@ def test_squares_in_tiles(spark, monkeypatch):
     assert {r["id"]: r["squares"] for r in squares.squares(edges).collect()} == {i: n for i, n in want.items() if n}
     clique = spark.createDataFrame([(i, j) for a, b in combinations(range(5), 2) for i, j in ((a, b), (b, a))], "src long, dst long")
     assert {r["id"]: r["squares"] for r in squares.squares(clique).collect()} == dict.fromkeys(range(5), 12)
+
+
+def test_trusses_find_triangles_once(spark, monkeypatch):
+    from itertools import combinations
+
+    from tropica.graph import Graph
+
+    calls, find = [], triangles.triangles
+    monkeypatch.setattr(triangles, "triangles", lambda edges: calls.append(1) or find(edges))
+    half = {*combinations(range(6), 2), *combinations(range(5, 9), 2), (0, 10), (1, 10), (10, 11)}
+    g = Graph(spark.createDataFrame([e for a, b in half for e in ((a, b), (b, a))], "src long, dst long"), None, False)
+    found = triangles.all_ktruss(g)
+    assert calls == [1]
+    assert [(r["k"], r["ntris"], r["nedges"]) for r in found] == [(3, 25, 23), (4, 24, 21), (5, 20, 15), (6, 20, 15), (7, 0, 0)]
+    # Steps as counted where each one finds the triangles of the edges that are left.
+    edges, want, k = half, [], 3
+    while not want or edges:
+        before, steps = -1, 0
+        while True:
+            edges, steps = {e for e in edges if sum(tuple(sorted((e[0], c))) in edges and tuple(sorted((e[1], c))) in edges for c in range(12)) >= k - 2}, steps + 1
+            if len(edges) in (before, 0):
+                break
+            before = len(edges)
+        want.append(steps)
+        k += 1
+    assert [r["nsteps"] for r in found] == want
+    for most in (-1, 22, 24):  # in rounds alone, and from some truss on in one task
+        monkeypatch.setattr(triangles, "TASK_TRIANGLES", most)
+        assert triangles.all_ktruss(g) == found
