@@ -82,3 +82,37 @@ def test_trusses_find_triangles_once(spark, monkeypatch):
     for most in (-1, 22, 24):  # in rounds alone, and from some truss on in one task
         monkeypatch.setattr(triangles, "TASK_TRIANGLES", most)
         assert triangles.all_ktruss(g) == found
+
+
+def test_rounds_leave_edges_where_they_lie(spark, monkeypatch):
+    import random
+
+    from tropica.graph import Graph
+    from tropica.operators import communities, ranking, traversal
+
+    pick = random.Random(3)
+    half = {tuple(sorted(pick.sample(range(40), 2))) for _ in range(150)} | {(50, 51), (51, 52), (60, 61)}
+    g = Graph(spark.createDataFrame([(a, b, 1 + (x + y) % 4) for x, y in half for a, b in ((x, y), (y, x))], "src long, dst long, w long"), None, False)
+    placed, links = [], []
+    few = lambda df, by: placed.append(by) or blocks.clustered(df, by)
+    monkeypatch.setattr(blocks, "tasks_for", lambda *_: 5)
+    for module in (communities, ranking, traversal):
+        monkeypatch.setattr(module, "clustered", few)
+    find = communities.components
+    monkeypatch.setattr(communities, "components", lambda df, **how: links.append(df.count()) or find(df, **how))
+
+    weight = {e: 1 + sum(e) % 4 for x, y in half for e in ((x, y), (y, x))}
+    ids = sorted({a for a, _ in weight})
+    away = dict.fromkeys(ids, 2**63 - 1) | {ids[0]: 0}
+    for _ in ids:
+        away = {i: min([away[i], *(away[j] + w for (j, k), w in weight.items() if k == i and away[j] < 2**62)]) for i in ids}
+    assert {r["id"]: r["distance"] for r in traversal.shortest_paths(g, ids[0]).collect()} == away
+    least = {i: i for i in ids}
+    for _ in ids:
+        least = {i: min([least[i], *(least[j] for j, k in weight if k == i)]) for i in ids}
+    assert {r["id"]: r["component"] for r in communities.connected_components(g).collect()} == least
+    assert links[0] <= 2 * len(ids) and sum(links) < len(weight)  # the rounds run on two links of a vertex, and on what they leave apart
+    chosen = {r["id"] for r in communities.independent_set(g).collect()}
+    assert not any(a in chosen and b in chosen for a, b in weight) and all(i in chosen or any(i == a and b in chosen for a, b in weight) for i in ids)
+    ranking.betweenness(g, ids[:2])
+    assert placed == ["src", "dst", "src"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tropica.errors import InvalidIndex, NegativeCycle, NotImplementedKind
 from tropica.graph import Graph
+from tropica.plans.blocks import clustered
 from tropica.plans.fixpoint import released, written
 
 
@@ -14,18 +15,21 @@ def relax(edges: DataFrame, seeds: DataFrame, extend: Column, most: int | None =
     """The least label of every vertex that paths from seeds(id, x) reach.
 
     extend computes the label of e.dst from the edge e and the label x of its source. Only vertices whose label just
-    fell send labels on; a round is one join and one pre-aggregated minimum. More than `most` rounds that still improve
+    fell send labels on, to edges that lie in blocks of their sources; a round is one join and one pre-aggregated minimum. More than `most` rounds that still improve
     something mean a negative cycle."""
-    state = written(seeds.select("id", "x", F.lit(True).alias("fresh")), "labels")
+    state, table = written(seeds.select("id", "x", F.lit(True).alias("fresh")), "labels"), clustered(edges, "src")
     rounds = 0
-    while not (frontier := state.where("fresh")).isEmpty():
-        if most is not None and rounds > most:
-            raise NegativeCycle("labels still fall after as many rounds as there are vertices")
-        sent = edges.alias("e").join(frontier.select(F.col("id").alias("src"), "x"), "src").select(F.col("dst").alias("id"), extend.alias("x"), F.lit(None).cast(state.schema["x"].dataType).alias("old"))
-        merged = state.select("id", "x", F.col("x").alias("old")).unionByName(sent).groupBy("id").agg(F.min("x").alias("x"), F.min("old").alias("old"))
-        last, state = state, written(merged.select("id", "x", (F.col("old").isNull() | (F.col("x") < F.col("old"))).alias("fresh")), "labels")
-        released(last)
-        rounds += 1
+    try:
+        while not (frontier := state.where("fresh")).isEmpty():
+            if most is not None and rounds > most:
+                raise NegativeCycle("labels still fall after as many rounds as there are vertices")
+            sent = table.join(frontier.select("id", "x")).select(F.col("dst").alias("id"), extend.alias("x"), F.lit(None).cast(state.schema["x"].dataType).alias("old"))
+            merged = state.select("id", "x", F.col("x").alias("old")).unionByName(sent).groupBy("id").agg(F.min("x").alias("x"), F.min("old").alias("old"))
+            last, state = state, written(merged.select("id", "x", (F.col("old").isNull() | (F.col("x") < F.col("old"))).alias("fresh")), "labels", placed=True)
+            released(last)
+            rounds += 1
+    finally:
+        table.release()
     return state.select("id", "x")
 
 
