@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tropica.functions import semiring as s
+from tropica.graph import Graph
 from tropica.operators import triangles
 from tropica.plans import blocks
 
@@ -116,3 +117,26 @@ def test_rounds_leave_edges_where_they_lie(spark, monkeypatch):
     assert not any(a in chosen and b in chosen for a, b in weight) and all(i in chosen or any(i == a and b in chosen for a, b in weight) for i in ids)
     ranking.betweenness(g, ids[:2])
     assert placed == ["src", "dst", "src"]
+
+
+def test_lists_are_gathered_in_one_move_without_a_join(spark, monkeypatch):
+    plans, keep = [], triangles.written
+    monkeypatch.setattr(triangles, "written", lambda df, *a, **k: plans.append((df.columns, _plan(df))) or keep(df, *a, **k))
+    g = Graph(spark.createDataFrame([(a, b) for a in range(12) for b in range(12) if a != b and (a + b) % 3], "src long, dst long"), directed=False)
+    near = {a: {b for b in range(12) if a != b and (a + b) % 3} for a in range(12)}
+    count = sum(b in near[a] and c in near[a] and c in near[b] for a in range(12) for b in range(a) for c in range(b))
+    for method in triangles.METHODS:
+        assert triangles.triangle_count(g, method) == count
+    for columns, plan in plans:
+        assert set(columns) == {"src", "upper", "lower"}  # of both no copy
+        assert plan.count("Exchange ") == 1 and "REPARTITION_BY_NUM" in plan and "Join" not in plan
+    # Of graphs that are ordered by degree no edges are sorted.
+    monkeypatch.setattr(triangles, "PAIRS_PER_EDGE", 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans.clear()
+        assert [triangles.triangle_count(g, m) for m in ("auto", *triangles.METHODS)] == [count] * 7
+        assert all("SortMergeJoin" not in plan for _, plan in plans) and sum("ShuffledHashJoin" in plan for _, plan in plans) == 6
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tropica.errors import InvalidValue
@@ -21,16 +21,18 @@ from tropica.plans.fixpoint import released, where_placed, written
 
 
 #: Entries of the lists in which one task looks up others.
-LIST_ENTRIES = 16_000_000
+LIST_ENTRIES = 40_000_000
 
 
 def oriented(edges: DataFrame, presort: bool = True) -> DataFrame:
-    """Each undirected edge once, from lower to higher (degree, id); by id alone without presort."""
+    """Each undirected edge once, from lower to higher (degree, id); by id alone without presort.
+
+    Degrees are looked up in hash tables of a vertex each, so that no edges are sorted."""
     half = edges.where("src < dst").select("src", "dst")
     if not presort:
         return half
     degree = edges.groupBy("src").agg(F.count("*").alias("d"))
-    half = half.join(degree, "src").join(degree.select(F.col("src").alias("dst"), F.col("d").alias("e")), "dst")
+    half = half.join(degree.hint("shuffle_hash"), "src").join(degree.select(F.col("src").alias("dst"), F.col("d").alias("e")).hint("shuffle_hash"), "dst")
     return half.select(F.when(F.expr("d <= e"), F.col("src")).otherwise(F.col("dst")).alias("src"), F.when(F.expr("d <= e"), F.col("dst")).otherwise(F.col("src")).alias("dst"))
 
 
@@ -38,11 +40,23 @@ def oriented(edges: DataFrame, presort: bool = True) -> DataFrame:
 PAIRS_PER_EDGE = 200
 
 
+def _order(edges: DataFrame) -> tuple[int, bool]:
+    """The number of undirected edges, and whether ordering them by degree pays."""
+    after = edges.where("src < dst").groupBy("src").agg(F.count("*").alias("d"))
+    n, work = after.agg(F.sum("d"), F.sum(F.col("d").cast("double") * F.col("d")) / F.sum("d")).first()
+    return n or 0, (work or 0) > PAIRS_PER_EDGE
+
+
+def _gathered(entries: DataFrame, rows: int, **lists: Column) -> DataFrame:
+    """(src, *lists): what each source lists, as a table; entries are moved once, to tasks that sort theirs in memory."""
+    placed = entries.repartition(tasks_for(entries.sparkSession, rows), "src")
+    return written(placed.groupBy("src").agg(*(F.collect_list(x).alias(name) for name, x in lists.items())), "lists")
+
+
 def successors(edges: DataFrame) -> DataFrame:
     """(src, upper): each vertex with its neighbours in the oriented graph, as a table."""
-    after = edges.where("src < dst").groupBy("src").agg(F.count("*").alias("d"))
-    work = after.agg(F.sum(F.col("d").cast("double") * F.col("d")) / F.sum("d")).first()[0] or 0
-    return written(oriented(edges, work > PAIRS_PER_EDGE).groupBy("src").agg(F.collect_list("dst").alias("upper")), "lists")
+    n, presort = _order(edges)
+    return _gathered(oriented(edges, presort), n, upper=F.col("dst"))
 
 
 def meeting(lists: DataFrame, mask: str = "upper", left: str = "upper", right: str = "upper") -> DataFrame:
@@ -80,8 +94,8 @@ METHODS = {
 
 
 def triangle_count(g: Graph, method: str = "auto", presort: bool | None = True) -> int:
-    """All methods count the same triangles; they differ in which products are taken. With presort, vertices are ordered by degree first;
-    None asks a sample of degrees whether that pays.
+    """All methods count the same triangles; they differ in which products are taken. With presort, vertices are ordered by degree first
+    where ids alone leave many pairs of successors and a product has a triangular side; None asks a sample of degrees whether that pays.
 
     auto takes the oriented form, whose work is bounded on skewed graphs."""
     g.require_symmetric(self_edges_allowed=False)
@@ -95,12 +109,16 @@ def triangle_count(g: Graph, method: str = "auto", presort: bool | None = True)
             from tropica.sources.random_graph import prefers_presort
 
             presort = prefers_presort(g)
-        ends = lambda x, y, up: F.struct(F.col(x).alias("src"), F.col(y).alias("dst"), F.lit(up).alias("up"))
-        sides = oriented(g.edges, presort).select(F.explode(F.array(ends("src", "dst", True), ends("dst", "src", False))).alias("e")).select("e.*")
-        near = {"upper": F.when(F.col("up"), F.col("dst")), "lower": F.when(~F.col("up"), F.col("dst")), "both": F.col("dst")}
-        lists = written(sides.groupBy("src").agg(*(F.collect_list(near[name]).alias(name) for name in sorted(set(names)))), "lists")
+        n, pays = _order(g.edges)
+        if presort and pays and "both" not in names:
+            ends = lambda x, y, up: F.struct(F.col(x).alias("src"), F.col(y).alias("dst"), F.lit(up).alias("up"))
+            sides = oriented(g.edges).select(F.explode(F.array(ends("src", "dst", True), ends("dst", "src", False))).alias("e")).select("e.*")
+        else:  # both directions are there
+            sides = g.edges.select("src", "dst", (F.col("src") < F.col("dst")).alias("up"))
+        lists = _gathered(sides, 2 * n, upper=F.when(F.col("up"), F.col("dst")), lower=F.when(~F.col("up"), F.col("dst")))
+    whole = lists.withColumn("both", F.concat("upper", "lower")) if "both" in names else lists
     with where_placed(lists.sparkSession):
-        total = meeting(lists, *names).agg(F.sum(F.size("both"))).first()[0] or 0
+        total = meeting(whole, *names).agg(F.sum(F.size("both"))).first()[0] or 0
     released(lists)
     return total // times
 
