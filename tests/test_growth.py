@@ -140,3 +140,37 @@ def test_lists_are_gathered_in_one_move_without_a_join(spark, monkeypatch):
         assert all("SortMergeJoin" not in plan for _, plan in plans) and sum("ShuffledHashJoin" in plan for _, plan in plans) == 6
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_forests_of_tasks(spark, monkeypatch):
+    import random
+
+    from tropica.operators import forests
+
+    draw, n = random.Random(7), 60
+    rows = sorted({(a, b): draw.choice([0.5, 1.0, 1.0, 2.0, float("nan")]) for a, b in ((draw.randrange(n), draw.randrange(n)) for _ in range(700)) if a < b}.items())
+    edges = spark.createDataFrame([(a * 97 % 1009, b * 97 % 1009, w) for (a, b), w in rows], "src long, dst long, w double")
+    both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+    once = sorted((w != w, w, min(a, b), max(a, b)) for a, b, w in edges.collect() if w == w) + sorted(((True, 0.0, min(a, b), max(a, b)) for a, b, w in edges.collect() if w != w))
+    part, tree = {}, set()
+
+    def root(v):
+        while part.get(v, v) != v:
+            v = part[v]
+        return v
+
+    for _, _, a, b in once:
+        if root(a) != root(b):
+            part[root(a)] = root(b)
+            tree.add((a, b))
+    sizes, thin, cut = [], forests.thinned, []
+    monkeypatch.setattr(forests, "thinned", lambda left, m: sizes.append(m) or thin(left, m))
+    contract = forests._contracted
+    monkeypatch.setattr(forests, "_contracted", lambda left, m: cut.append(m) or contract(left, m))
+    for most, symmetric in ((50, True), (200, False), (10_000, True)):
+        monkeypatch.setattr(forests, "TASK_EDGES", most)
+        sizes.clear()
+        assert {(r["src"], r["dst"]) for r in forests.spanning_forest(both, symmetric=symmetric).collect()} == tree
+        assert sizes[0] == len(once) and sizes[-1] <= most and (len(sizes) == 1) == (most == 10_000)
+    assert cut  # where thinning left more than half
+    assert all(left <= m for left, m in zip(sizes[1:], sizes, strict=False))
