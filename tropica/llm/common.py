@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tropica.plans.fixpoint import released, work_dir, written
+from tropica.plans.fixpoint import released, settled, work_dir, written
 
-__all__ = ["open_fs", "released", "table", "text_or_empty", "work_dir", "written"]
+__all__ = ["open_fs", "released", "settled", "table", "text_or_empty", "work_dir", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:

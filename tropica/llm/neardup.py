@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tropica.llm.common import text_or_empty, written
+from tropica.llm.common import settled, text_or_empty, written
 from tropica.llm.substrings import _groups, _signed, mix, pair, runs, word_hashes
 from tropica.operators.components import components
 
@@ -129,7 +129,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, threshold: int = THRES
 def kept_rows(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """The keys (k1, k2) of rows to keep, with linked (null for rows without words, which all stay): of each component
     the row with the smallest doc_id, null last, and of several rows of that doc_id the one with the least k1."""
-    placed = written(_placed(docs, size, threshold).select("doc_id", "k1", "k2", "component"), "placed")
+    placed = settled(lambda: _placed(docs, size, threshold).select("doc_id", "k1", "k2", "component"), "placed")
     first = F.min(F.struct(F.col("doc_id").isNull(), "k2", "k1")).alias("first")
     linked = placed.where("component is not null").groupBy("component").agg(first).select("first.k1", "first.k2", F.lit(True).alias("linked"))
     return linked.unionByName(placed.where("component is null").select("k1", "k2", F.lit(None).cast("boolean").alias("linked")).distinct())

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tropica.llm.common import released, text_or_empty, written
+from tropica.llm.common import released, settled, text_or_empty, written
 
 WINDOW, KMER = 35, 8
 #: Bytes of text that a worker holds in arrays at once (more where one text alone is longer).
@@ -259,7 +259,7 @@ def keyed_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, diges
     repeated = written(shared.where("not open").select(columns).unionByName(several.select(columns)).distinct(), "repeated")
     released(shared)
     opened = paths.groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct("at.p", "at.n", "mh", "c")).alias("opened"))
-    placed = keyed.join(compacted(repeated), ["k1", "k2"], "left").join(opened, ["k1", "k2"], "left")
+    placed = lambda: keyed.join(compacted(repeated), ["k1", "k2"], "left").join(opened, ["k1", "k2"], "left")
 
     def first_pass(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
@@ -301,8 +301,8 @@ def keyed_repeats(docs: DataFrame, window: int = WINDOW, kmer: int = KMER, diges
         if rows:
             yield pa.RecordBatch.from_pylist(rows, FIRST)
 
-    first = placed.select("doc_id", "text", "whole", "heads", "opened", "k1", "k2").mapInArrow(first_pass, f"k1 long, k2 long, done struct<{OUT.replace(' long', ':long').replace(' string', ':string').replace('removed array', 'removed:array')}>, text binary, p array<int>, n array<int>, probe array<int>, probe_mh array<long>, probe_wh array<long>, known_mh array<long>, known_wh array<long>, sums array<struct<mh:long,ch:long,n:int,digest:binary>>")
-    first = written(first, "opened")
+    schema = f"k1 long, k2 long, done struct<{OUT.replace(' long', ':long').replace(' string', ':string').replace('removed array', 'removed:array')}>, text binary, p array<int>, n array<int>, probe array<int>, probe_mh array<long>, probe_wh array<long>, known_mh array<long>, known_wh array<long>, sums array<struct<mh:long,ch:long,n:int,digest:binary>>"
+    first = settled(lambda: placed().select("doc_id", "text", "whole", "heads", "opened", "k1", "k2").mapInArrow(first_pass, schema), "opened")
     released(repeated, paths)
     sums = first.select(F.explode("sums").alias("s")).groupBy("s.mh", "s.ch", "s.n").agg((F.min("s.digest") != F.max("s.digest")).alias("differ"))
     if not sums.where("differ").isEmpty():  # equal hashes of different words
